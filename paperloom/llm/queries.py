@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import encoding, mixing, splitting, token_budget
+from paperloom.llm import encoding, mixing, spam, splitting, token_budget
 from paperloom.session import table, tune
 
 
@@ -49,4 +49,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_report(spark, d).where(~F.col("reached")).select("plan", "source")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_chunk_budget, p4_document_budget, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(tune(spark), d, "documents"))
+
+
+def p8_pages(spark: SparkSession, d: str) -> DataFrame:
+    judged = spam.judge_pages(table(tune(spark), d, "documents"))
+    return judged.select("doc_id", "lang", *(F.round(c, 6).alias(c) for c in ("slope", "residual", "types", "divergence", "excess", "curve")), "spam")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_chunk_budget, p4_document_budget, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_pages)}

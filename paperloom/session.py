@@ -6,10 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "paperloom", cpus: str | int = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -29,8 +32,25 @@ def build_session(app: str = "paperloom", cpus: str | int = "*", shuffle_partiti
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever it was started from. Once per Spark context."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    fd, name = tempfile.mkstemp(prefix="paperloom-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, str(Path(package.name) / p.relative_to(package)))
+    spark.sparkContext.addPyFile(name)
+    atexit.register(lambda: os.path.exists(name) and os.remove(name))
+    _shipped.add(app)
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Runtime settings of the Python stages: Arrow batches that stay small even for long texts."""
+    """What the Python stages need: the package, and Arrow batches that stay small even for long texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
 

@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,17 @@ FAR, FAR_WITH_CURVE, ABOVE = 4.15, 3.8, 1.9
 ANY = "*"
 
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/[\w./?=&%#~-]*", re.IGNORECASE)
+_LINKED = re.compile(r"://|www\.|\.\w[\w-]*/", re.IGNORECASE)
 _WORD = regex.compile(r"\x01|[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}]+")
 _ASCII_WORD = re.compile(r"\x01|[a-z]+")
 
 
 def page_words(text: str) -> list[str]:
     """Lower-case words; every link is one special word; characters of unspaced scripts stand alone; digits do not count."""
-    low = _URL.sub(" \x01 ", text.replace("\x01", " ")).lower()
+    low = text.replace("\x01", " ")
+    if _LINKED.search(low):
+        low = _URL.sub(" \x01 ", low)
+    low = low.lower()
     return _ASCII_WORD.findall(low) if low.isascii() else _WORD.findall(low)
 
 
@@ -65,9 +70,15 @@ _slots = _Slots()
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, n (words), words (hashes, ascending), counts, freq and n_freq (the frequency spectrum, descending)."""
+    """doc_id, lang, n (words), words (hashes), counts, freq and n_freq (the frequency spectrum, descending)."""
+
+    def nested(lists: list, kind: type) -> pa.Array:
+        ends = np.zeros(len(lists) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, lists), np.int32, len(lists)), out=ends[1:])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(lists), kind, int(ends[-1]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = _slots.__getitem__
         for batch in batches:
             keep, n, words, counts, freq, n_freq = [], [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -75,17 +86,16 @@ def fingerprints(documents: DataFrame) -> DataFrame:
                 if len(found) < LEAST_WORDS:
                     continue
                 c = Counter(found)
-                hashed = sorted(zip(map(_slots.__getitem__, c), c.values()))
                 spectrum = sorted(Counter(c.values()).items(), reverse=True)
                 keep.append(i)
                 n.append(len(found))
-                words.append([h for h, _ in hashed])
-                counts.append([k for _, k in hashed])
+                words.append(list(map(slot, c)))
+                counts.append(c.values())
                 freq.append([f for f, _ in spectrum])
                 n_freq.append([m for _, m in spectrum])
             at = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(n, pa.int32()), pa.array(words, pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int32())) for x in (counts, freq, n_freq))],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(n, pa.int32()), nested(words, np.int64), nested(counts, np.int32), nested(freq, np.int32), nested(n_freq, np.int32)],
                 names=["doc_id", "lang", "n", "words", "counts", "freq", "n_freq"],
             )
 
@@ -129,27 +139,32 @@ def with_norms(df: DataFrame, columns: dict[str, float], among=None) -> DataFram
     return out.drop(*(f"{t}_{k}_{c}" for t in ("own", "all") for k in ("m", "d") for c in columns), "own_n", "all_n")
 
 
-def _slot(lang: str, words: np.ndarray) -> np.ndarray:
-    """Slots of hashed words under a language."""
-    mix = (words.astype(np.uint64) + np.uint64(zlib.crc32(lang.encode()))) * np.uint64(0x9E3779B97F4A7C15)
+def _slots_of(labels: list[str], sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Slots of hashed words under the language of their page; ``sizes`` is the number of words of each page."""
+    seeds = np.fromiter((zlib.crc32(x.encode()) for x in labels), np.uint64, len(labels))
+    mix = (words.astype(np.uint64) + np.repeat(seeds, sizes)) * np.uint64(0x9E3779B97F4A7C15)
     return (mix >> np.uint64(43)).astype(np.int64)  # the upper 21 bits
 
 
+def _columns(batch: pa.RecordBatch, n: int, words: int, counts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the pages of a batch, their hashed words and the share of each word in its page."""
+    ends = np.asarray(batch.column(words).offsets)
+    sizes = np.diff(ends)
+    total = np.repeat(batch.column(n).to_numpy(zero_copy_only=False), sizes)
+    return sizes, batch.column(words).values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], batch.column(counts).values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] / total
+
+
 def prose_reference(prose: DataFrame) -> tuple[np.ndarray, dict[str, float]]:
     """Summed word shares of the prose pages per language and of all, in a table of ``SLOTS`` numbers; pages per language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS)
         for batch in batches:
+            sizes, words, shares = _columns(batch, 1, 2, 3)
             langs = batch.column(0).to_pylist()
-            ends = np.asarray(batch.column(2).offsets)
-            words, counts = batch.column(2).values.to_numpy(zero_copy_only=False), batch.column(3).values.to_numpy(zero_copy_only=False)
-            n = batch.column(1).to_numpy(zero_copy_only=False)
-            for i, lang in enumerate(langs):
-                a, b = ends[i], ends[i + 1]
-                share = counts[a:b] / n[i]
-                for label in (lang, ANY):
-                    np.add.at(total, _slot(label, words[a:b]), share)
+            for labels in (langs, [ANY] * len(langs)):
+                slots, where = np.unique(_slots_of(labels, sizes, words), return_inverse=True)
+                total[slots] += np.bincount(where, weights=shares, minlength=len(slots))
         used = np.flatnonzero(total)
         for k in range(0, len(used), 50_000):
             part = used[k : k + 50_000]
@@ -175,22 +190,21 @@ def divergences(prints: DataFrame, reference: np.ndarray, pages: dict[str, float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n_pages = shared.value
 
-        def kl(lang: str, words: np.ndarray, p: np.ndarray) -> float:
-            q = (table[_slot(lang, words)] + 1e-3) / (n_pages[lang] + 1)
-            return float((p * np.log(p / q)).sum())
+        def kl(labels: list[str], sizes: np.ndarray, words: np.ndarray, p: np.ndarray) -> np.ndarray:
+            pages_of = np.repeat(np.fromiter((n_pages[x] for x in labels), np.float64, len(labels)), sizes)
+            q = (table[_slots_of(labels, sizes, words)] + 1e-3) / (pages_of + 1)
+            return np.add.reduceat(p * np.log(p / q), np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
 
         for batch in batches:
-            langs, out = batch.column(1).to_pylist(), []
-            ends = np.asarray(batch.column(3).offsets)
-            words, counts = batch.column(3).values.to_numpy(zero_copy_only=False), batch.column(4).values.to_numpy(zero_copy_only=False)
+            langs = batch.column(1).to_pylist()
             n = batch.column(2).to_numpy(zero_copy_only=False)
-            for i, lang in enumerate(langs):
-                a, b = ends[i], ends[i + 1]
-                p = counts[a:b] / n[i]
-                least = min(kl(x, words[a:b], p) for x in {ANY, lang if lang in n_pages else ANY})
-                if least > 2.5:
-                    least = min([least, *(kl(x, words[a:b], p) for x in known)])
-                out.append(least)
+            sizes, words, p = _columns(batch, 2, 3, 4)
+            out = np.minimum(kl([ANY] * len(langs), sizes, words, p), kl([x if x in n_pages else ANY for x in langs], sizes, words, p))
+            odd = np.flatnonzero(out > 2.5)
+            if len(odd) and known:
+                mine = np.isin(np.repeat(np.arange(len(sizes)), sizes), odd)
+                for x in known:
+                    out[odd] = np.minimum(out[odd], kl([x] * len(odd), sizes[odd], words[mine], p[mine]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.rint(np.log2(n)).astype(np.int32)), pa.array(out, pa.float64())], names=["doc_id", "lang", "size", "divergence"])
 
     return prints.select("doc_id", "lang", "n", "words", "counts").mapInArrow(run, "doc_id bigint, lang string, size int, divergence double")
@@ -204,7 +218,7 @@ def judge_pages(documents: DataFrame) -> DataFrame:
     spellings are one language, missing ones a group of their own.
     """
     prints = materialize(fingerprints(documents), "page-words")
-    fits = materialize(with_norms(curves(prints), {"types": 0.08, "slope": 0.05, "residual": 0.05}), "page-curves")
+    fits = materialize(with_norms(materialize(curves(prints), "page-fits"), {"types": 0.08, "slope": 0.05, "residual": 0.05}), "page-curves")
     z = {c: (F.col(c) - F.col(f"norm_{c}")) / F.col(f"mad_{c}") for c in ("types", "slope", "residual")}
     ordinary = F.greatest(*(F.abs(v) for v in z.values())) <= ORDINARY
     prose = prints.join(fits.where(ordinary).select("doc_id"), "doc_id", "left_semi").select("lang", "n", "words", "counts")

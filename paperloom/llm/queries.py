@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import encoding, mixing, scan_noise, spam, splitting, token_budget
+from paperloom.llm import encoding, mixing, pii, scan_noise, spam, splitting, token_budget
 from paperloom.session import table, tune
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.personal_kinds(pii.find_personal(table(tune(spark), d, "docket_review_input")))
+    return found.select(F.col("id").alias("input_id"), "field", "kind")
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(tune(spark), d, "docket_review_input"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_noise.noise_kinds(scan_noise.find_noise(table(tune(spark), d, "chunks_legal")))
 
@@ -66,4 +75,4 @@ def p8_pages(spark: SparkSession, d: str) -> DataFrame:
     return judged.select("doc_id", "lang", *(F.round(c, 6).alias(c) for c in ("slope", "residual", "types", "divergence", "excess", "curve")), "spam")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_repaired, p4_found, p4_chunk_budget, p4_document_budget, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_pages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_repaired, p4_found, p4_chunk_budget, p4_document_budget, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_pages)}

@@ -77,7 +77,7 @@ _W = r"[\p{Lu}][\p{L}'’.-]*"
 _ADDRESS = regex.compile(
     rf"(?<![\w$§/-])(?:(?:number|no\.?|nº)\s+)?(?P<no>\d{{1,5}}(?:[ -]?[A-Z])?),?\s+(?P<words>(?:{_W}[ \t]+){{0,3}}{_W})(?=[\s,.;:#)\x1e]|$)"
     rf"|(?P<pre>(?:{_W}[ \t]+){{0,2}}{_W}),?[ \t]+(?P<no2>\d{{1,5}}[A-Za-z]?)\b(?![\w/%$-])"
-    rf"|(?<![\w$§/-])(?P<no3>\d{{1,5}}(?:-[A-Za-z])?)[ \t]+(?P<low>(?:\p{{L}}[\p{{L}}'’.-]*[ \t]+){{1,3}}(?:{'|'.join(STREET_SEEDS)}))\b"
+    rf"|(?<![\w$§/-])(?P<no3>\d{{1,5}}(?:-[A-Za-z])?)[ \t]+(?P<low>(?:(?:[NSEW]\.|\p{{L}}[\p{{L}}'’-]*)[ \t]+){{1,3}}(?:{'|'.join(STREET_SEEDS)}))(?![\w-])"
 )
 _TITLE = "|".join(TITLES)
 _NAME = regex.compile(
@@ -122,8 +122,10 @@ def plain(text: str) -> tuple[str, list[int], list[int]]:
             c = CUT
         else:
             c = chr(ord(m.group(0)) - 0xFEE0)
-        if "\ud800" <= c[:1] <= "\udfff":
+        if "\ud800" <= c <= "\udfff":
             c = "�"
+        elif "！" <= c <= "～":
+            c = chr(ord(c) - 0xFEE0)
         out += (piece, c)
         size += len(piece) + len(c)
         last = m.end()

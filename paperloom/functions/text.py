@@ -148,18 +148,21 @@ def lookup_token(c: Column) -> Column:
 # --- citations
 
 
-def statute_variants(query: Column, title: int = 18) -> Column:
-    """Lookup tokens of a statute query, most exact first: as given, without subsections, in full form, the bare section."""
-    bare = strip_ws(F.regexp_replace(query, r"\([^)]*\)", ""))
-    section = F.nullif(F.regexp_extract(bare, r"(?i)(?:U\.?S\.?C\.?\s*)?§*\s*([0-9]+[A-Za-z0-9-]*)\s*$", 1), F.lit(""))
-    with_title = F.coalesce(F.nullif(F.regexp_extract(bare, r"(?i)^\s*([0-9]+)\s*U\.?S\.?C", 1), F.lit("")), F.lit(str(title)))
-    full = F.concat(with_title, F.lit(" U.S.C. § "), section)
-    return F.array_distinct(F.filter(F.array(*(lookup_token(F.coalesce(x, F.lit(""))) for x in (query, bare, full, section))), lambda x: x != ""))
+# Fixed value: a statute named with its title.
+STATUTE = r"(?i)([0-9]+)\s*u\.?s\.?c\.?\s*§*\s*([0-9]+[a-z]*)"
+
+
+def statute_variants(query: Column) -> Column:
+    """Lookup tokens of a statute query, most exact first: as given, without subsections and, where it names a title, the
+    full form and the bare section."""
+    title, section = (F.nullif(F.regexp_extract(query, STATUTE, i), F.lit("")) for i in (1, 2))
+    forms = (query, F.regexp_replace(query, r"\([^)]*\)", ""), F.concat(title, F.lit(" U.S.C. § "), section), section)
+    return F.array_distinct(F.filter(F.array(*(lookup_token(F.coalesce(x, F.lit(""))) for x in forms)), lambda x: x != ""))
 
 
 def is_structured_query(query: Column) -> Column:
     """A query that names a statute, so that a loose match would mislead."""
-    return query.rlike(r"(?i)U\.?\s*S\.?\s*C|§")
+    return query.rlike(r"(?i)u\.?s\.?c\.?|§")
 
 
 def is_parent_token(token: Column, query: Column) -> Column:

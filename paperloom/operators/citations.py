@@ -11,22 +11,24 @@ from paperloom.functions.text import is_structured_query, lookup_token, query_ci
 EXACT, PARENT, CONTAINS = 1, 2, 3
 
 
-def match_statutes(requests: DataFrame, entries: DataFrame, title: int = 18) -> DataFrame:
+def match_statutes(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries for each request (request_id, query), by the first variant of the query that hits, in tiers.
 
     A variant hits exactly, or as the parent of an entry (the entry goes on, not with a digit), or, for a query that does
     not name a statute, anywhere in the entry. The exact tier is an equi-join; parents are found through the prefixes of the
     entry tokens, also by equality; only loose queries that hit nothing are compared by containment, through shared
-    token trigrams.
+    token trigrams (shorter queries: what they have).
     """
     tokens = entries.withColumn("token", lookup_token(F.col("statute_citation")))
-    asked = requests.select("request_id", "query", is_structured_query(F.col("query")).alias("structured"), F.posexplode(statute_variants(F.col("query"), title)).alias("rank", "variant"))
+    asked = requests.select("request_id", "query", is_structured_query(F.col("query")).alias("structured"), F.posexplode(statute_variants(F.col("query"))).alias("rank", "variant"))
     exact = asked.join(tokens, asked["variant"] == tokens["token"]).select("request_id", F.lit(EXACT).alias("tier"), "rank", "entry_id")
     n = F.length("token")
     prefixes = tokens.select("entry_id", "token", F.explode(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).alias("_n")).where(F.col("_n") < n)
     prefixes = prefixes.select("entry_id", F.substr("token", F.lit(1), F.col("_n")).alias("prefix"), F.substr("token", F.col("_n") + 1, F.lit(1)).alias("next")).where(~F.col("next").rlike("[0-9]"))
     parent = asked.join(prefixes, asked["variant"] == prefixes["prefix"]).select("request_id", F.lit(PARENT).alias("tier"), "rank", "entry_id")
-    grams = tokens.select("entry_id", "token", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(F.col("token"), i, F.lit(3))))).alias("gram"))
+    starts = F.sequence(F.lit(1), n)
+    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.substr(F.col("token"), i, k))))
+    grams = tokens.where(n > 0).select("entry_id", "token", F.explode(F.array_distinct(pieces)).alias("gram"))
     loose = asked.where(~F.col("structured")).withColumn("gram", F.substring("variant", 1, 3))
     inside = loose.join(grams, "gram").where(F.col("token").contains(F.col("variant"))).select("request_id", F.lit(CONTAINS).alias("tier"), "rank", "entry_id")
     hits = exact.unionByName(parent).unionByName(inside)

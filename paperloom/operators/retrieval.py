@@ -73,22 +73,56 @@ MOST_QUERIES = 4096
 
 
 def bm25(index: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_id", text: str = "text", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
-    """BM25 top ``k`` per query: (query_id, key, score, rank), ties by key.
+    """BM25 top ``k`` per query: (query_id, key, score, rank), ties by key; rows that share no term with a query are not
+    ranked for it.
 
-    Only postings of query terms survive the semi-join that follows the per-document counts; lengths and document
-    frequencies come from the same rows.
+    The stated queries, at most ``MOST_QUERIES`` a call, are scored in blocks: a task turns its rows into weights of the
+    query terms and multiplies them with the queries, so a term that every row has costs no join. Document frequencies
+    of the query terms and the mean length come from one aggregation before.
     """
-    docs = index.select(F.col(key), terms(F.col(text)).alias("_t"))
-    stats = docs.agg(F.count("*").alias("_docs"), F.avg(F.size("_t")).alias("_mean"))
-    wanted = queries.select(query_key, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    postings = docs.select(key, F.size("_t").alias("_len"), F.explode("_t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", key, "_len").agg(F.count("*").alias("_tf"))
-    df_ = postings.groupBy("term").agg(F.count("*").alias("_df"))
-    weighted = postings.join(df_, "term").join(F.broadcast(stats))  # one row of statistics
-    idf = F.log(1 + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_mean")))
-    scored = weighted.select("term", key, part.alias("part")).join(wanted, "term").groupBy(query_key, key).agg(F.sum("part").alias("score"))
+    asked = queries.select(query_key, F.array_distinct(terms(F.col(query_text))).alias("_t")).limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"at most {MOST_QUERIES} queries a call; split the query table")
+    names = sorted({t for r in asked for t in r["_t"]})
+    types = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
+    docs = index.select(key, terms(F.col(text)).alias("_t"))
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("mean")).first()
+    wanted = queries.sparkSession.createDataFrame([(t,) for t in names], "term string")
+    frequency = {r["term"]: r["n"] for r in docs.select(F.explode(F.array_distinct("_t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")).collect()}
+    idf = np.asarray([np.log(1 + (stats["n"] - frequency.get(t, 0) + 0.5) / (frequency.get(t, 0) + 0.5)) for t in names])
+    place = {t: i for i, t in enumerate(names)}
+    matrix = np.zeros((len(asked), len(names)), dtype=np.float64)
+    for i, r in enumerate(asked):
+        matrix[i, [place[t] for t in r["_t"]]] = 1.0
+    shared = index.sparkSession.sparkContext.broadcast((pa.array([r[query_key] for r in asked]), matrix, place, idf, stats["mean"] or 1.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, at, weight, mean = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                w = np.zeros((len(at), batch.num_rows))
+                for j, words in enumerate(batch.column(1).to_pylist()):
+                    for t in words:
+                        i = at.get(t)
+                        if i is not None:
+                            w[i, j] += 1
+                    length = K1 * (1 - B + B * len(words) / mean)
+                    column = w[:, j]
+                    w[:, j] = weight * column * (K1 + 1) / (column + length)
+                used = np.flatnonzero(w.any(axis=1))
+                if not len(used):
+                    continue
+                s = q[:, used] @ w[used]
+                n = min(k, batch.num_rows)
+                floor = np.partition(s, batch.num_rows - n, axis=1)[:, batch.num_rows - n]
+                qi, ri = np.nonzero((s >= floor[:, None] - 1e-9) & (s > 0))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(qi)), batch.column(0).take(pa.array(ri)), pa.array(s[qi, ri])], names=[query_key, key, "score"])
+
+    if not names:
+        return index.sparkSession.createDataFrame([], f"{types}, rank int")
     w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), F.asc(key))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return docs.mapInArrow(run, types).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int = 8, key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:

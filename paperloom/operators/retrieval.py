@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 K1, B, RRF = 1.2, 0.75, 60
 #: Columns of an index table by role.
@@ -24,14 +26,19 @@ def terms(c: Column) -> Column:
 
 def hashed_embedding(df: DataFrame, text: str = "text", out: str = "content_vector", size: int = 256) -> DataFrame:
     """The offline embedder: signed hashed term counts, normalised; null and empty texts give zeros."""
+
+    @F.pandas_udf("array<float>")
+    def embed(slots: pd.Series, signs: pd.Series) -> pd.Series:
+        def one(at: np.ndarray, sign: np.ndarray) -> np.ndarray:
+            v = np.bincount(np.asarray(at, dtype=np.int64), weights=np.asarray(sign, dtype=np.float64), minlength=size) if len(at) else np.zeros(size)
+            return (v / max(np.linalg.norm(v), 1e-30)).astype(np.float32)
+
+        return pd.Series([one(a, g) for a, g in zip(slots, signs)])
+
     t = terms(F.col(text))
     slots = F.transform(t, lambda x: F.pmod(F.xxhash64(x), F.lit(size)).cast("int"))
     signs = F.transform(t, lambda x: F.when(F.pmod(F.xxhash64(x, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-    zero = F.array_repeat(F.lit(0.0), size)
-    pairs = F.arrays_zip(slots.alias("s"), signs.alias("g"))
-    vector = F.aggregate(pairs, zero, lambda a, p: F.transform(a, lambda v, i: F.when(i == p["s"], v + p["g"]).otherwise(v)))
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, v: a + v * v))
-    return df.withColumn(out, F.transform(vector, lambda v: F.coalesce(F.try_divide(v, norm), F.lit(0.0)).cast("float")))
+    return df.withColumn(out, embed(slots, signs))
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_id", vector: str = "content_vector", query_key: str = "query_id") -> DataFrame:
@@ -47,7 +54,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_
         return index.select(F.lit(None).cast(queries.schema[query_key].dataType).alias(query_key), F.col(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     matrix = np.asarray([r[vector] for r in rows], dtype=np.float64)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
-    shared = index.sparkSession.sparkContext.broadcast((pa.array([r[query_key] for r in rows]), matrix))
+    shared = index.sparkSession.sparkContext.broadcast((pa.array([r[query_key] for r in rows], to_arrow_type(queries.schema[query_key].dataType)), matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
@@ -94,7 +101,7 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_id"
     matrix = np.zeros((len(asked), len(names)), dtype=np.float64)
     for i, r in enumerate(asked):
         matrix[i, [place[t] for t in r["_t"]]] = 1.0
-    shared = index.sparkSession.sparkContext.broadcast((pa.array([r[query_key] for r in asked]), matrix, place, idf, stats["mean"] or 1.0))
+    shared = index.sparkSession.sparkContext.broadcast((pa.array([r[query_key] for r in asked], to_arrow_type(queries.schema[query_key].dataType)), matrix, place, idf, stats["mean"] or 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, at, weight, mean = shared.value

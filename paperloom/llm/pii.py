@@ -251,8 +251,10 @@ def candidates_of(text: str) -> list[tuple[str, str, bool, int, int, list[str]]]
     for m in _NAME.finditer(text):
         if not free(*m.span()):
             continue
-        parts = name_parts(m.group("words"))
-        title, suffix = m.group("title"), m.group("suffix")
+        title, suffix, words = m.group("title"), m.group("suffix"), m.group("words")
+        if words.split()[-1].lower() in SUFFIXES:
+            words, suffix = words.rsplit(None, 1)[0] if len(words.split()) > 1 else words, words.split()[-1]
+        parts = name_parts(words)
         behind = _WORD.match(text[m.end() :].lstrip(" ")[:20])
         firm = text[m.end() : m.end() + 3].lstrip().startswith("&") or (behind is not None and behind.group(0).lower() in FIRMS)
         if parts is None:

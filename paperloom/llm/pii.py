@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from paperloom.session import materialize
 
@@ -87,6 +89,7 @@ _NAME = regex.compile(
     rf"(?:,?\s+(?P<suffix>Jr|Sr|II|III|IV)\b\.?)?"
 )
 _CONTEXT = regex.compile(r"[\p{L}\p{N}'’]+|[:;,.!?\x1e(]")
+_LOWER = regex.compile(r"(?<![\p{L}\p{N}])\p{Ll}[\p{L}'’-]*")
 _BREAK = regex.compile(r"\x1e|\r?\n\s*\n|(?:\p{L}{4,}|\d|\))[.!?][”\"’]?\s+(?=[^\p{Ll}])")
 _WORD = regex.compile(r"\p{L}[\p{L}'’]*(?:-\p{L}[\p{L}'’]*)*")
 
@@ -257,6 +260,8 @@ def candidates_of(text: str) -> list[tuple[str, str, bool, int, int, list[str]]]
         parts = name_parts(words)
         behind = _WORD.match(text[m.end() :].lstrip(" ")[:20])
         firm = text[m.end() : m.end() + 3].lstrip().startswith("&") or (behind is not None and behind.group(0).lower() in FIRMS)
+        if "\n" in words.strip() or (words.isupper() and len(words.split()) > 1):
+            continue  # two lines may hold two things, and capitals alone say nothing: the lexicon finds such names later
         if parts is None:
             if title and len(m.group("words").split()) <= 3 and not firm:
                 found.append(("titled", m.group("words").lower(), True, m.start(), m.end(), contexts(text, *m.span())))
@@ -266,7 +271,7 @@ def candidates_of(text: str) -> list[tuple[str, str, bool, int, int, list[str]]]
         nick = re.search(r"\s[“\"'‘]", m.group("words")) is not None
         middle = re.search(r"[^\W\d_]\S+\s+[^\W\d_]\.\s", m.group("words")) is not None
         around = contexts(text, *m.span())
-        found.append(("name", parts[1], bool(title or suffix or nick or middle) and "\n" not in m.group("words"), m.start(), m.end(), [*around, f"G {parts[0]}"] if parts[0] else around))
+        found.append(("name", parts[1], bool(title or suffix or nick or middle), m.start(), m.end(), [*around, f"G {parts[0]}"] if parts[0] else around))
     return found
 
 
@@ -280,21 +285,39 @@ def long_texts(inputs: DataFrame, id_col: str = "input_id", fields: tuple[str, .
 
 
 def extract(texts: DataFrame) -> DataFrame:
-    """First pass: (id, field, kind, instance, seed, start, end, patterns); positions are those of the raw text."""
+    """First pass: (id, field, kind, instance, seed, start, end, patterns, n); positions are those of the raw text.
+
+    Rows of kind ``lower`` have no position: they count the words written in lower case, combined per task.
+    """
+    id_type = to_arrow_type(texts.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (id_type, pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64())
+        names = ["id", "field", "kind", "instance", "seed", "start", "end", "patterns", "n"]
+        lower: Counter = Counter()
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        def counts() -> pa.RecordBatch:
+            rows = [(None, None, "lower", w, False, None, None, [], n) for w, n in lower.items()]
+            lower.clear()
+            return batch_of(rows)
+
         for batch in batches:
             rows = []
             for key, field, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 text, at, raw_at = plain(raw)
+                lower.update(filter(str.islower, _LOWER.findall(text)))
                 for kind, instance, seed, a, b, patterns in candidates_of(text):
-                    rows.append((key, field, kind, instance, seed, *raw_span(a, b, at, raw_at), patterns))
-            columns = list(zip(*rows)) if rows else [()] * 8
-            types = (batch.column(0).type, pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "field", "kind", "instance", "seed", "start", "end", "patterns"])
+                    rows.append((key, field, kind, instance, seed, *raw_span(a, b, at, raw_at), patterns, 1))
+            yield batch_of(rows)
+            if len(lower) > 200_000:
+                yield counts()
+        yield counts()
 
-    id_type = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {id_type}, field string, kind string, instance string, seed boolean, start int, end int, patterns array<string>")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, field string, kind string, instance string, seed boolean, start int, end int, patterns array<string>, n bigint")
 
 
 def observations(candidates: DataFrame) -> DataFrame:
@@ -466,7 +489,9 @@ def find_personal(inputs: DataFrame, id_col: str = "input_id", fields: tuple[str
     # a number is of one kind: the one believed more
     one = good.groupBy("id", "field", "start", "end").agg(F.max_by("graph", F.struct("belief", "near")).alias("kind"))
     mail = spans.where("kind = 'email'").select("id", "field", F.col("kind"), "start", "end")
-    families = materialize(belief.where((F.col("graph") == "name") & (F.col("belief") >= TRUSTED["name"]) & (F.col("total") >= LEAST_SEEN)).select(F.col("instance").alias("family")), "pii-families")
+    # a word that is written small more often than it ends a capitalised group is a word of the language
+    small = spans.where("kind = 'lower'").groupBy(F.regexp_replace("instance", "’", "'").alias("instance")).agg(F.sum("n").alias("n_lower"))
+    families = materialize(belief.join(small, "instance", "left").where(F.coalesce("n_lower", F.lit(0)) <= F.col("total")).where((F.col("graph") == "name") & (F.col("belief") >= TRUSTED["name"]) & (F.col("total") >= LEAST_SEEN)).select(F.col("instance").alias("family")), "pii-families")
     given = patterns.where((F.col("graph") == "name") & F.col("pattern").startswith("G ") & (F.col("score") >= TRUSTED_GIVEN)).select(F.substring("pattern", 3, 200).alias("given"))
     allowed = given.unionByName(texts.sparkSession.createDataFrame([("",)], "given string"))
     names = find_names(texts, family_filter(families)).join(families, "family", "left_semi").join(allowed, "given", "left_semi").select("id", "field", F.lit("name").alias("kind"), "start", "end")

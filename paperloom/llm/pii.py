@@ -309,9 +309,14 @@ def extract(texts: DataFrame) -> DataFrame:
             rows = []
             for key, field, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 text, at, raw_at = plain(raw)
-                lower.update(filter(str.islower, _LOWER.findall(text)))
+                rest, last = [], 0
                 for kind, instance, seed, a, b, patterns in candidates_of(text):
+                    if kind == "email":  # its parts are no words
+                        rest.append(text[last:a])
+                        last = b
                     rows.append((key, field, kind, instance, seed, *raw_span(a, b, at, raw_at), patterns, 1))
+                rest.append(text[last:])
+                lower.update(filter(str.islower, _LOWER.findall(" ".join(rest))))
             yield batch_of(rows)
             if len(lower) > 200_000:
                 yield counts()
@@ -371,7 +376,7 @@ _BEFORE = regex.compile(
 )
 _INITIAL = regex.compile(rf"(?<![\p{{L}}\p{{N}}@._-])(?:\p{{Lu}}\.\s?){{1,3}}\s*(?:(?:(?i:{'|'.join(PARTICLES)}))\s+){{0,3}}$")
 _AFTER = regex.compile(r"[ \t]*,\s+(?:(?P<initials>\p{Lu}\.)|(?P<given>\p{L}[\p{L}'’-]*))")
-_OTHER = regex.compile(rf"\s*(?:&|(?:{'|'.join(FIRMS + STREET_SEEDS)})\b)", regex.IGNORECASE)
+_OTHER = regex.compile(rf"[ \t]*(?:&|(?:{'|'.join(FIRMS + STREET_SEEDS)})\b)", regex.IGNORECASE)
 
 
 def _bits(word: str) -> tuple[int, int]:

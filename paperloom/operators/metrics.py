@@ -67,9 +67,8 @@ def rank_variants(df: DataFrame, finalists: int = 2) -> DataFrame:
 
 def span_summary(spans: DataFrame) -> DataFrame:
     """Per span type: count, total, mean and longest seconds and the share of the trace's time."""
-    totals = spans.agg(F.sum("seconds").alias("_all"))
     per = spans.groupBy("span_type").agg(F.count("*").alias("n"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"), F.max("seconds").alias("longest"))
-    return per.join(F.broadcast(totals)).withColumn("share", ratio(F.col("total"), F.col("_all"))).drop("_all")  # one row
+    return per.withColumn("share", ratio(F.col("total"), F.sum("total").over(Window.partitionBy(F.lit(0)))))  # a row per type
 
 
 def early_late(calls: DataFrame, group: str, order: list[str], value: str, n: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as t
-from paperloom.operators import citations, hierarchy, selection
+from paperloom.operators import citations, hierarchy, manuals, selection
 from paperloom.session import table
 
 # Fixed subheadings of the manuals.
@@ -104,7 +104,30 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", F.md5(t.snippet(F.col("text"), F.lit("offense level"), F.lit("paragraph"))).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (ws_normalize, html_strip, nonblank_lines, token_estimates, chunk_ids, slugs, citations_found, heading_sections, split_greedy, chunk_summary, per_source_cap, rechunked, statute_tiers, next_boundary, outline_alias, title_match, snippets)}
+def title18_html(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written as statute HTML, one page each, and parsed back into sections."""
+    rows = _chunks(spark, d).where("text is not null and chunk_title is not null")
+    html = F.concat(F.lit('<h3 class="chapter-head">'), F.split("semantic_path", " > ")[0], F.lit('</h3><h4 class="section-head">'), F.col("chunk_title"), F.lit("</h4>"), F.col("text"))
+    made = manuals.title18_sections(rows.select(F.col("chunk_id").alias("source_path"), html.alias("html")))
+    return made.select(F.col("source_path").alias("chunk_id"), "chapter_heading", "heading", F.md5("body").alias("digest"))
+
+
+def ussg_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk texts read as pages of their files and cut into sections by the manual's grammar."""
+    rows = _chunks(spark, d).where("text is not null")
+    pages = rows.select("source_path", F.xxhash64("chunk_id").alias("page"), F.regexp_replace("text", r"(?m)^Section: ", "").alias("text"))
+    return manuals.ussg_chunks(pages, 2018).select("chunk_id", "citation", "estimated_tokens")
+
+
+def statute_entries(spark: SparkSession, d: str) -> DataFrame:
+    """A statutory index written from the chunks' citations, one page a file, and read back."""
+    rows = _chunks(spark, d).where("citation like '%U.S.C.%' and chunk_title rlike '^§[0-9][A-Z]'")
+    line = F.concat("citation", F.lit("\n"), F.regexp_extract("chunk_title", r"^§(\S+)", 1))
+    page = rows.groupBy("source_path").agg(F.concat(F.lit("APPENDIX A\n"), F.array_join(F.array_sort(F.collect_set(line)), "\n")).alias("text")).withColumn("page", F.lit(1))
+    return manuals.appendix_entries(page, 2018).select("source_path", "statute_citation", F.array_join("guideline_sections", ",").alias("sections"))
+
+
+QUERIES = {f.__name__: f for f in (ws_normalize, html_strip, nonblank_lines, token_estimates, chunk_ids, slugs, citations_found, heading_sections, split_greedy, chunk_summary, per_source_cap, rechunked, statute_tiers, next_boundary, outline_alias, title_match, snippets, title18_html, ussg_pages, statute_entries)}
 
 _C = "c AS (SELECT * FROM chunks_legal QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC NULLS LAST, estimated_tokens DESC NULLS LAST) = 1)"
 _STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x0b]+', ''), '[\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x0b]+$', '')"
@@ -113,6 +136,8 @@ _LINES = r"l AS (SELECT chunk_id, unnest(string_split(regexp_replace(text, '\r\n
 _HEADS = "('Application Notes', 'Commentary', 'Background', 'Historical Note')"
 _RANKED = "o AS (SELECT l_orderkey, l_linenumber AS ord, CAST(min(l_partkey) % 3 AS INT) AS level FROM lineitem GROUP BY ALL)"
 ORACLES = {
+    "title18_html": f"WITH {_C} SELECT chunk_id, {_STRIP.format("split_part(semantic_path, ' > ', 1)")} AS chapter_heading, {_STRIP.format('chunk_title')} AS heading, md5({_SPACE}) AS digest FROM c WHERE text IS NOT NULL AND chunk_title IS NOT NULL AND {_SPACE} <> ''",
+    "statute_entries": rf"WITH {_C} SELECT DISTINCT source_path, citation AS statute_citation, regexp_extract(chunk_title, '^§(\S+)', 1) AS sections FROM c WHERE contains(citation, 'U.S.C.') AND regexp_matches(chunk_title, '^§[0-9][A-Z]')",
     "ws_normalize": f"WITH {_C} SELECT chunk_id, length({_SPACE}) AS n, md5({_SPACE}) AS digest FROM c",
     "html_strip": "SELECT doc_id, ltrim(coalesce(source, '') || chr(10) || chr(10) || 'A&B <' || doc_id || '>' || chr(160) || ' bold ' || chr(10) || 'end', chr(10)) AS text FROM documents",
     "nonblank_lines": r"SELECT doc_id, len(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: trim(x) <> '')) AS n FROM documents WHERE text IS NOT NULL",

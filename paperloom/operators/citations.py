@@ -60,7 +60,8 @@ def lookup_guideline(sections: DataFrame, requests: DataFrame, year: int = 2024)
 
 
 def by_prefix(subheadings: DataFrame, sections: DataFrame) -> DataFrame:
-    """Sections under each subheading: those whose citation starts with its prefix. Joined on the prefix, cut by length."""
-    lengths = [r[0] for r in subheadings.select(F.length("prefix").alias("n")).distinct().orderBy("n").limit(64).collect()]  # lengths of prefixes, a few
-    cut = sections.select("*", F.explode(F.array(*(F.substring("citation", 1, n) for n in lengths)) if lengths else F.array().cast("array<string>")).alias("prefix"))
+    """Sections under each subheading: those whose citation starts with its prefix. Joined on the prefixes of the citations,
+    which are short."""
+    n = F.length("citation")
+    cut = sections.where(n > 0).select("*", F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.substr("citation", F.lit(1), k))).alias("prefix"))
     return subheadings.join(cut.dropDuplicates(["entry_id", "prefix"]), "prefix")

@@ -99,7 +99,9 @@ def fingerprints(documents: DataFrame) -> DataFrame:
                 names=["doc_id", "lang", "n", "words", "counts", "freq", "n_freq"],
             )
 
-    source = documents.select(F.col("doc_id").cast("long"), F.coalesce(normal_lang(F.col("lang")), F.lit("?")).alias("lang"), F.col("text").cast("string"))
+    code = normal_lang(F.col("lang"))
+    # two-letter codes only, so that there are no more norms and prose counts than such codes
+    source = documents.select(F.col("doc_id").cast("long"), F.when(F.length(code) == 2, code).otherwise("?").alias("lang"), F.col("text").cast("string"))
     return source.mapInArrow(run, "doc_id bigint, lang string, n int, words array<bigint>, counts array<int>, freq array<int>, n_freq array<int>")
 
 

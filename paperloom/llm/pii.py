@@ -77,9 +77,9 @@ _DIGITS = re.compile(r"(?<![\w/$§#.,:-])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\
 _SPELLED = re.compile(rf"\b(?:{'|'.join(DIGIT_WORDS)})(?:[\s,-]+(?:{'|'.join(DIGIT_WORDS)})){{6,}}\b", re.IGNORECASE)
 _W = r"[\p{Lu}][\p{L}'’.-]*"
 _ADDRESS = regex.compile(
-    rf"(?<![\w$§/-])(?:(?:number|no\.?|nº)\s+)?(?P<no>\d{{1,5}}(?:[ -]?[A-Z])?),?\s+(?P<words>(?:{_W}[ \t]+){{0,3}}{_W})(?=[\s,.;:#)\x1e]|$)"
+    rf"(?<![\w$§#/.,-])(?<!(?i:ext)\. )(?<!(?i:ext) )(?:(?:number|no\.?|nº)\s+)?(?P<no>\d{{1,5}}(?:[ -]?[A-Z])?),?[ \t]+(?P<words>(?:{_W}[ \t]+){{0,3}}{_W})(?=[\s,.;:#)\x1e]|$)"
     rf"|(?P<pre>(?:{_W}[ \t]+){{0,2}}{_W}),?[ \t]+(?P<no2>\d{{1,5}}[A-Za-z]?)\b(?![\w/%$-])"
-    rf"|(?<![\w$§/-])(?P<no3>\d{{1,5}}(?:-[A-Za-z])?)[ \t]+(?P<low>(?:(?:[NSEW]\.|\p{{L}}[\p{{L}}'’-]*)[ \t]+){{1,3}}(?:{'|'.join(STREET_SEEDS)}))(?![\w-])"
+    rf"|(?<![\w$§#/.,-])(?P<no3>\d{{1,5}}(?:-[A-Za-z])?)[ \t]+(?P<low>(?:(?:[NSEW]\.|\p{{L}}[\p{{L}}'’-]*)[ \t]+){{1,3}}(?:{'|'.join(STREET_SEEDS)}))(?![\w-])"
 )
 _TITLE = "|".join(TITLES)
 _NAME = regex.compile(
@@ -200,6 +200,15 @@ def name_parts(words: str) -> tuple[str, str] | None:
     return ("" if initials else core[0].lower().rstrip("."), heads[0].lower().replace("’", "'"))
 
 
+def in_capitals(text: str, start: int, end: int) -> bool:
+    """Whether a span and a word beside it are written in capitals, so that capitals say nothing."""
+    if not text[start:end].isupper():
+        return False
+    before = re.search(r"([^\W\d_]{2,})\W*$", text[max(0, start - 25) : start])
+    behind = re.match(r"\W*([^\W\d_]{2,})", text[end : end + 25])
+    return any(m is not None and m.group(1).isupper() for m in (before, behind))
+
+
 def candidates_of(text: str) -> list[tuple[str, str, bool, int, int, list[str]]]:
     """(kind of candidate, instance, seed, start, end, patterns) of a plain text; kinds number, street, name, email."""
     found = []
@@ -239,8 +248,10 @@ def candidates_of(text: str) -> list[tuple[str, str, bool, int, int, list[str]]]
             k = next((i for i, w in enumerate(words) if i and w in STREET_SEEDS), len(words) - 1)
             form = f"n {words[k]}"
             end = m.start("words") + tokens[k].end()
-            found.append(("street", form, k > 0 and words[k] in STREET_SEEDS, m.start(), end, contexts(text, m.start(), end)))
-            taken.append((m.start(), end))
+            seed = k > 0 and words[k] in STREET_SEEDS
+            if seed or not in_capitals(text, m.start(), end):
+                found.append(("street", form, seed, m.start(), end, contexts(text, m.start(), end)))
+                taken.append((m.start(), end))
         elif m.group("low"):
             if any(w in NO_STREET for w in m.group("low").lower().split()):
                 continue
@@ -248,7 +259,7 @@ def candidates_of(text: str) -> list[tuple[str, str, bool, int, int, list[str]]]
             taken.append(m.span())
         elif m.group("pre"):
             word = m.group("pre").lower().split()[-1].strip(".")
-            if word in NO_STREET or word in PARTICLES:
+            if word in NO_STREET or word in PARTICLES or in_capitals(text, m.start(), m.end()):
                 continue
             found.append(("street", f"{word} n", False, m.start(), m.end(), contexts(text, m.start(), m.end())))
     for m in _NAME.finditer(text):

@@ -36,13 +36,15 @@ from paperloom.session import materialize
 ROUNDS = 4
 #: Belief added to the denominators, so that rare patterns and instances stay modest.
 DOUBT = 1.5
-#: Belief from which an instance is trusted, by graph; it must have been seen so often.
-TRUSTED = {"phone": 0.58, "id_number": 0.33, "address": 0.5, "name": 0.45}
-LEAST_SEEN = 4
-#: Score of the best pattern around an occurrence that a trusted instance still needs, and that admits an unknown one.
-NEEDED_PATTERN, STRONG_PATTERN = 0.25, 0.8
+#: Belief from which an instance is trusted, as a share of the best belief among those that are no seeds (of all names):
+#: beliefs grow with the number of occurrences, their order does not. It must have been seen so often.
+TRUSTED = {"phone": 0.72, "id_number": 0.62, "address": 0.62, "name": 0.45}
+LEAST_SEEN = 3
+#: Score of the best pattern around an occurrence that a trusted instance still needs, as a share of the same belief, and
+#: the score that admits an unknown one.
+NEEDED_PATTERN, STRONG_PATTERN = 0.3, 0.8
 #: Score from which a given name is trusted.
-TRUSTED_GIVEN = 0.4
+TRUSTED_GIVEN = 0.33
 #: Bits of the Bloom filter of family names: 1 MB for any corpus.
 BLOOM_BITS = 1 << 23
 KINDS = ("name", "email", "phone", "id_number", "address")
@@ -372,9 +374,9 @@ def propagate(obs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFram
         patterns = materialize(told.groupBy("graph", "pattern").agg((F.sum(F.col("n") * F.col("belief")) / (F.sum(F.col("n") * F.col("belief")) + against + DOUBT)).alias("score"), F.sum("n").alias("support")), "pii-patterns")
         best = edges.join(patterns, ["graph", "pattern"]).groupBy("obs", "graph", "instance").agg(F.max("score").alias("score"), F.first("n").alias("n"))
         said = best.groupBy("graph", "instance").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + DOUBT)).alias("said"))
-        belief = materialize(prior.join(said, ["graph", "instance"], "left").select("graph", "instance", F.greatest("prior", F.coalesce("said", F.lit(0.0))).alias("belief"), "total"), "pii-beliefs")
+        belief = materialize(prior.join(said, ["graph", "instance"], "left").select("graph", "instance", F.greatest("prior", F.coalesce("said", F.lit(0.0))).alias("belief"), "prior", "total"), "pii-beliefs")
         if turn < rounds - 1:
-            belief = belief.drop("total")
+            belief = belief.drop("prior", "total")
     return patterns, belief
 
 
@@ -498,16 +500,20 @@ def find_personal(inputs: DataFrame, id_col: str = "input_id", fields: tuple[str
     open_ = spans.where("kind in ('number', 'street', 'name')").select("id", "field", "kind", "instance", "seed", "start", "end", F.explode(graph_of).alias("graph"), F.explode_outer("patterns").alias("pattern"))
     near = open_.join(patterns.select("graph", "pattern", "score"), ["graph", "pattern"], "left").groupBy("id", "field", "start", "end", "graph", "instance", "seed").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("near"))
     judged = near.join(belief, ["graph", "instance"])
-    trust = F.when(F.col("graph") == "phone", TRUSTED["phone"]).when(F.col("graph") == "id_number", TRUSTED["id_number"]).when(F.col("graph") == "address", TRUSTED["address"]).otherwise(2.0)
+    seen = F.col("total") >= LEAST_SEEN
+    best = {r["graph"]: r["best"] for r in belief.where(seen & ((F.col("graph") == "name") | (F.col("prior") < 0.5))).groupBy("graph").agg(F.max("belief").alias("best")).collect()}  # one number a graph
+    share = lambda g, part: F.lit(best.get(g, 2.0) * part)
+    level = lambda parts: F.when(F.col("graph") == "phone", share("phone", parts["phone"])).when(F.col("graph") == "id_number", share("id_number", parts["id_number"])).when(F.col("graph") == "address", share("address", parts["address"])).otherwise(F.lit(2.0))
+    trust, needed = level(TRUSTED), level(dict.fromkeys(TRUSTED, NEEDED_PATTERN))
     rare = (F.col("total") < LEAST_SEEN) & (F.col("near") >= STRONG_PATTERN) & (F.col("graph") != "name")
-    known = (F.col("belief") >= trust) & (F.col("total") >= LEAST_SEEN) & (F.col("near") >= NEEDED_PATTERN)
+    known = (F.col("belief") >= trust) & seen & (F.col("near") >= needed)
     good = judged.where(known | rare | (F.col("seed") & F.col("graph").isin("address", "name")) | F.col("instance").isin(*PHONE_SEEDS) & (F.col("graph") == "phone"))
     # a number is of one kind: the one believed more
     one = good.groupBy("id", "field", "start", "end").agg(F.max_by("graph", F.struct("belief", "near")).alias("kind"))
     mail = spans.where("kind = 'email'").select("id", "field", F.col("kind"), "start", "end")
     # a word that is written small more often than it ends a capitalised group is a word of the language
     small = spans.where("kind = 'lower'").groupBy(F.regexp_replace("instance", "’", "'").alias("instance")).agg(F.sum("n").alias("n_lower"))
-    families = materialize(belief.join(small, "instance", "left").where(F.coalesce("n_lower", F.lit(0)) <= F.col("total")).where((F.col("graph") == "name") & (F.col("belief") >= TRUSTED["name"]) & (F.col("total") >= LEAST_SEEN)).select(F.col("instance").alias("family")), "pii-families")
+    families = materialize(belief.join(small, "instance", "left").where(F.coalesce("n_lower", F.lit(0)) <= F.col("total")).where((F.col("graph") == "name") & (F.col("belief") >= share("name", TRUSTED["name"])) & seen).select(F.col("instance").alias("family")), "pii-families")
     given = patterns.where((F.col("graph") == "name") & F.col("pattern").startswith("G ") & (F.col("score") >= TRUSTED_GIVEN)).select(F.substring("pattern", 3, 200).alias("given"))
     allowed = given.unionByName(texts.sparkSession.createDataFrame([("",)], "given string"))
     names = find_names(texts, family_filter(families)).join(families, "family", "left_semi").join(allowed, "given", "left_semi").select("id", "field", F.lit("name").alias("kind"), "start", "end")

@@ -56,11 +56,15 @@ def boundaries(text: str, reach: int) -> tuple[list[int], list[float]]:
         if not gaps:
             break
     for a, b in gaps:
-        for p in range(a + max(1, reach // 8), b, max(1, reach // 8)):
-            while a < p < b and (unicodedata.combining(text[p]) or (text[p - 1] == "\r" and text[p] == "\n")):
+        last = a
+        for grid in range(a + max(1, reach // 8), b, max(1, reach // 8)):
+            p = grid
+            while p > last and (unicodedata.combining(text[p]) or (text[p - 1] == "\r" and text[p] == "\n")):
                 p -= 1
-            if a < p < b:
-                best.setdefault(p, PENALTY["hard"])
+            if p <= last:  # no room to keep a character whole under this limit
+                p = grid
+            best.setdefault(p, PENALTY["hard"])
+            last = p
     positions = sorted(best)
     return positions, [best[p] for p in positions]
 

@@ -8,8 +8,11 @@ that prose and clearly further than prose of the same language at a comparable l
 somewhat smaller divergence is enough. Lists with a purpose repeat words too, but words their language's prose
 uses; they diverge little.
 
-What moves: the spectrum (a few rows a page), the hashed counts (written once to the shared folder) and sums of fixed
-size. No page is joined with another.
+Copies: a corpus may hold one text very often, so norms and reference count each distinct page (words and their counts)
+once, and a page is held against the prose of all others. The verdict goes back to every copy.
+
+What moves: the spectrum (a few rows a page), the hashed counts (written once to the shared folder), keys of pages and
+sums of fixed size. No page is joined with another.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ LEAST_PAGES = 20
 ORDINARY, EXTREME = 2.0, 8.0
 #: Nats of divergence from prose that flag a page, alone or with an extreme curve, and what it must be above prose of its length.
 FAR, FAR_WITH_CURVE, ABOVE = 4.15, 3.8, 1.9
+#: Nats that flag a page with an ordinary curve if its own share is taken out of the prose; single pages of prose in a thin
+#: language come to 5.2.
+FAR_FROM_OTHERS = 5.65
 ANY = "*"
 
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/[\w./?=&%#~-]*", re.IGNORECASE)
@@ -69,8 +75,17 @@ class _Slots(dict):
 _slots = _Slots()
 
 
+def page_keys(words: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each page's words and counts, whatever their order."""
+    x = words.astype(np.uint64) << np.uint64(32) | counts.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return np.add.reduceat(x ^ x >> np.uint64(31), starts).view(np.int64) if len(starts) else np.zeros(0, np.int64)
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, n (words), words (hashes), counts, freq and n_freq (the frequency spectrum, descending)."""
+    """doc_id, lang, page (key of words and counts), n (words), words (hashes), counts, freq and n_freq (the frequency
+    spectrum, descending)."""
 
     def nested(lists: list, kind: type) -> pa.Array:
         ends = np.zeros(len(lists) + 1, np.int32)
@@ -94,15 +109,23 @@ def fingerprints(documents: DataFrame) -> DataFrame:
                 freq.append([f for f, _ in spectrum])
                 n_freq.append([m for _, m in spectrum])
             at = pa.array(keep, pa.int32())
+            words, counts = nested(words, np.int64), nested(counts, np.int32)
+            pages = page_keys(words.values.to_numpy(), counts.values.to_numpy(), words.offsets.to_numpy()[:-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(n, pa.int32()), nested(words, np.int64), nested(counts, np.int32), nested(freq, np.int32), nested(n_freq, np.int32)],
-                names=["doc_id", "lang", "n", "words", "counts", "freq", "n_freq"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(pages), pa.array(n, pa.int32()), words, counts, nested(freq, np.int32), nested(n_freq, np.int32)],
+                names=["doc_id", "lang", "page", "n", "words", "counts", "freq", "n_freq"],
             )
 
     code = normal_lang(F.col("lang"))
     # two-letter codes only, so that there are no more norms and prose counts than such codes
     source = documents.select(F.col("doc_id").cast("long"), F.when(F.length(code) == 2, code).otherwise("?").alias("lang"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id bigint, lang string, n int, words array<bigint>, counts array<int>, freq array<int>, n_freq array<int>")
+    return source.mapInArrow(run, "doc_id bigint, lang string, page bigint, n int, words array<bigint>, counts array<int>, freq array<int>, n_freq array<int>")
+
+
+def one_of_each(prints: DataFrame) -> DataFrame:
+    """doc_id, page: for each distinct page the document that stands for it, one of its most frequent known label."""
+    alike = prints.groupBy("page", "lang").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+    return alike.groupBy("page").agg(F.max_by("doc_id", F.struct(F.col("lang") != "?", "copies", "lang")).alias("doc_id"))
 
 
 def curves(prints: DataFrame) -> DataFrame:
@@ -181,10 +204,11 @@ def prose_reference(prose: DataFrame) -> tuple[np.ndarray, dict[str, float]]:
 
 
 def divergences(prints: DataFrame, reference: np.ndarray, pages: dict[str, float]) -> DataFrame:
-    """doc_id, lang, size, divergence: of the page's word shares from its language's prose (Kullback-Leibler, nats).
+    """doc_id, lang, size, divergence: of the page's word shares from its language's prose (Kullback-Leibler, nats);
+    ``from_others``: the same for a page that is in ``reference`` itself, without its own share in it.
 
     The label may be wrong or missing, so a page far from its own language's prose is held against the other languages
-    too, and the least divergence counts.
+    too, and the least divergence counts. A language without another page says nothing.
     """
     shared = prints.sparkSession.sparkContext.broadcast((reference, pages))
     known = sorted((x for x in pages if pages[x] >= LEAST_PAGES and x not in (ANY, "?")), key=lambda x: -pages[x])
@@ -192,24 +216,33 @@ def divergences(prints: DataFrame, reference: np.ndarray, pages: dict[str, float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n_pages = shared.value
 
-        def kl(labels: list[str], sizes: np.ndarray, words: np.ndarray, p: np.ndarray) -> np.ndarray:
-            pages_of = np.repeat(np.fromiter((n_pages[x] for x in labels), np.float64, len(labels)), sizes)
-            q = (table[_slots_of(labels, sizes, words)] + 1e-3) / (pages_of + 1)
-            return np.add.reduceat(p * np.log(p / q), np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+        def kl(labels: list[str], sizes: np.ndarray, words: np.ndarray, p: np.ndarray, own: np.ndarray) -> np.ndarray:
+            """``own``: 1 for pages whose share is to be taken out of the reference, else 0."""
+            if not len(sizes):
+                return np.zeros(0)
+            pages_of = np.fromiter((n_pages[x] for x in labels), np.float64, len(labels)) - own
+            share = np.maximum(table[_slots_of(labels, sizes, words)] - p * np.repeat(own, sizes), 0)
+            q = (share + 1e-3) / (np.repeat(np.maximum(pages_of, 0), sizes) + 1)
+            out = np.add.reduceat(p * np.log(p / q), np.cumsum(sizes) - sizes)
+            out[(pages_of < 1) & (np.array(labels) != ANY)] = np.inf
+            return out
 
         for batch in batches:
             langs = batch.column(1).to_pylist()
             n = batch.column(2).to_numpy(zero_copy_only=False)
             sizes, words, p = _columns(batch, 2, 3, 4)
-            out = np.minimum(kl([ANY] * len(langs), sizes, words, p), kl([x if x in n_pages else ANY for x in langs], sizes, words, p))
-            odd = np.flatnonzero(out > 2.5)
-            if len(odd) and known:
-                mine = np.isin(np.repeat(np.arange(len(sizes)), sizes), odd)
-                for x in known:
-                    out[odd] = np.minimum(out[odd], kl([x] * len(odd), sizes[odd], words[mine], p[mine]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.rint(np.log2(n)).astype(np.int32)), pa.array(out, pa.float64())], names=["doc_id", "lang", "size", "divergence"])
+            both = []
+            for own in (np.zeros(len(langs)), np.ones(len(langs))):
+                out = np.minimum(kl([ANY] * len(langs), sizes, words, p, own), kl([x if x in n_pages else ANY for x in langs], sizes, words, p, own))
+                odd = np.flatnonzero(out > 2.5)
+                if len(odd) and known:
+                    mine = np.isin(np.repeat(np.arange(len(sizes)), sizes), odd)
+                    for x in known:
+                        out[odd] = np.minimum(out[odd], kl([x] * len(odd), sizes[odd], words[mine], p[mine], own[odd] * [langs[i] == x for i in odd]))
+                both.append(pa.array(out, pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.rint(np.log2(n)).astype(np.int32)), *both], names=["doc_id", "lang", "size", "divergence", "from_others"])
 
-    return prints.select("doc_id", "lang", "n", "words", "counts").mapInArrow(run, "doc_id bigint, lang string, size int, divergence double")
+    return prints.select("doc_id", "lang", "n", "words", "counts").mapInArrow(run, "doc_id bigint, lang string, size int, divergence double, from_others double")
 
 
 def judge_pages(documents: DataFrame) -> DataFrame:
@@ -220,17 +253,21 @@ def judge_pages(documents: DataFrame) -> DataFrame:
     spellings are one language, missing ones a group of their own.
     """
     prints = materialize(fingerprints(documents), "page-words")
-    fits = materialize(with_norms(materialize(curves(prints), "page-fits"), {"types": 0.08, "slope": 0.05, "residual": 0.05}), "page-curves")
+    single = materialize(one_of_each(prints), "page-single")
+    one = prints.join(single.select("doc_id"), "doc_id", "left_semi")
+    fits = materialize(with_norms(materialize(curves(one), "page-fits"), {"types": 0.08, "slope": 0.05, "residual": 0.05}), "page-curves")
     z = {c: (F.col(c) - F.col(f"norm_{c}")) / F.col(f"mad_{c}") for c in ("types", "slope", "residual")}
     ordinary = F.greatest(*(F.abs(v) for v in z.values())) <= ORDINARY
     prose = prints.join(fits.where(ordinary).select("doc_id"), "doc_id", "left_semi").select("lang", "n", "words", "counts")
     reference, pages = prose_reference(prose)
     far = divergences(prints, reference, pages).join(fits.select("doc_id", "slope", "residual", "types", ordinary.alias("ordinary"), F.greatest(-z["types"], -z["slope"], z["residual"]).alias("curve")), "doc_id")
-    judged = with_norms(materialize(far, "page-divergence"), {"divergence": 0.1}, F.col("ordinary") & (F.col("divergence") <= FAR))
+    judged = with_norms(materialize(far, "page-divergence"), {"divergence": 0.1, "from_others": 0.1}, F.col("ordinary") & (F.col("divergence") <= FAR) & (F.col("from_others") <= FAR_FROM_OTHERS))
     # a length at which the corpus has no prose at all has no norm; the divergence itself decides there
-    excess = F.col("divergence") - F.coalesce("norm_divergence", F.lit(0.0))
+    above = {c: F.col(c) - F.coalesce(f"norm_{c}", F.lit(0.0)) for c in ("divergence", "from_others")}
     far = (F.col("divergence") > FAR) | ((F.col("divergence") > FAR_WITH_CURVE) & (F.col("curve") > EXTREME))
-    return judged.withColumn("excess", excess).withColumn("spam", far & (excess > ABOVE))
+    alone = F.col("ordinary") & (F.col("from_others") > FAR_FROM_OTHERS) & (above["from_others"] > ABOVE)
+    verdict = judged.withColumn("excess", above["divergence"]).withColumn("spam", far & (above["divergence"] > ABOVE) | alone).join(single, "doc_id").drop("doc_id", "lang")
+    return prints.select("doc_id", "lang", "page").join(verdict, "page").drop("page")
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:

@@ -56,3 +56,37 @@ def test_curves_agree_with_a_direct_fit(spark):
 def test_page_words():
     assert s.page_words("See https://x.example/a?b=1 or docs.y.test/z, now 12 Times") == ["see", "\x01", "or", "\x01", "now", "times"]
     assert s.page_words("十月 d'été") == ["十", "月", "d", "été"]
+
+
+def test_copies_do_not_make_their_own_norms(spark):
+    rng = random.Random(2)
+    spam = " ".join(rng.choice(["cheap pills", "bail bonds", "court forms"]) for _ in range(64))
+    rows = [(i, prose(rng, rng.randint(6, 40)), "en", None) for i in range(240)]
+    rows += [(1000 + i, f"{spam} {i}".upper() if i % 2 else f"{i} {spam}", "en" if i % 3 else None, None) for i in range(160)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.doc_id for r in s.spam_pages(df).collect()) == [1000 + i for i in range(160)]
+
+
+def test_a_page_is_held_against_the_other_pages(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 12), "en", None) for i in range(21)] + [(99, "quick brown foxes never jump over many lazy hounds today", "en", None)]
+    prints = s.fingerprints(spark.createDataFrame(rows, SCHEMA)).cache()
+    columns = ["lang", "n", "words", "counts"]
+    of = lambda among: {r.doc_id: r for r in s.divergences(prints, *s.prose_reference(prints.where(among).select(*columns))).collect()}
+    whole, without = of("true"), of("doc_id <> 99")
+    assert whole[99].divergence < 3.2 < 4.15 < whole[99].from_others
+    assert abs(whole[99].from_others - without[99].divergence) < 1e-5
+    prints.unpersist()
+
+
+def test_spam_in_a_small_language(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 12), "en", None) for i in range(24)] + [(99, "foxes hounds foxes berry hounds lawn berry " * 2 + " ".join(f"shed{c}" for c in "abcdefghijklmnopqrstu"), "en", None)]
+    judged = {r.doc_id: r for r in s.judge_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [k for k, r in judged.items() if r.spam] == [99]
+
+
+def test_page_keys_ignore_order(spark):
+    rows = [(1, "a b c d a b c a b a", "en", None), (2, "D c b a; c b a 7 b a a!", None, None), (3, "a b c d a b c a b b", "en", None)]
+    key = {r.doc_id: r.page for r in s.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert key[1] == key[2] != key[3]

@@ -5,8 +5,9 @@ its frequency spectrum. SQL windows rank the spectrum and fit log frequency agai
 number of types say how the page spreads its words. Pages whose curve is ordinary for their language and length are
 the prose of that language; their word shares form a reference of fixed size. A page is flagged if it diverges far from
 that prose and clearly further than prose of the same language at a comparable length does; with an extreme curve a
-somewhat smaller divergence is enough. Lists with a purpose repeat words too, but words their language's prose
-uses; they diverge little.
+somewhat smaller divergence is enough. An extreme curve flags a page by itself if it says each word several times and is
+no list with a purpose: such lists repeat words too, but words their language's prose uses, beside dates, page or item
+numbers; they diverge little or count.
 
 Copies: a corpus may hold one text very often, so norms and reference count each distinct page (words and their counts)
 once, and a page is held against the prose of all others. The verdict goes back to every copy.
@@ -40,6 +41,9 @@ LEAST_WORDS = 8
 LEAST_PAGES = 20
 #: Robust deviations from the norm within which a curve is ordinary, and beyond which it is extreme.
 ORDINARY, EXTREME = 2.0, 8.0
+#: Times that a page says each word on average, from which an extreme curve alone flags it, numbers a word from which it is a
+#: list with a purpose, and nats above prose of its length. One sentence of prose said five times comes to 0.8 nats.
+REPEATED, NUMBERS, ABOVE_IF_REPEATED = 4.0, 0.1, 1.2
 #: Nats of divergence from prose that flag a page, alone or with an extreme curve, and what it must be above prose of its length.
 FAR, FAR_WITH_CURVE, ABOVE = 4.15, 3.8, 1.9
 #: Nats that flag a page with an ordinary curve if its own share is taken out of the prose; single pages of prose in a thin
@@ -48,6 +52,7 @@ FAR_FROM_OTHERS = 5.65
 ANY = "*"
 
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/[\w./?=&%#~-]*", re.IGNORECASE)
+_NUMBER = re.compile(r"\d+")
 _LINKED = re.compile(r"://|www\.|\.\w[\w-]*/", re.IGNORECASE)
 _WORD = regex.compile(r"\x01|[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}]+")
 _ASCII_WORD = re.compile(r"\x01|[a-z]+")
@@ -84,8 +89,8 @@ def page_keys(words: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.n
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, page (key of words and counts), n (words), words (hashes), counts, freq and n_freq (the frequency
-    spectrum, descending)."""
+    """doc_id, lang, page (key of words and counts), n (words), numbers, words (hashes), counts, freq and n_freq (the
+    frequency spectrum, descending)."""
 
     def nested(lists: list, kind: type) -> pa.Array:
         ends = np.zeros(len(lists) + 1, np.int32)
@@ -95,7 +100,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = _slots.__getitem__
         for batch in batches:
-            keep, n, words, counts, freq, n_freq = [], [], [], [], [], []
+            keep, n, numbers, words, counts, freq, n_freq = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 found = page_words(text) if text else []
                 if len(found) < LEAST_WORDS:
@@ -104,6 +109,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
                 spectrum = sorted(Counter(c.values()).items(), reverse=True)
                 keep.append(i)
                 n.append(len(found))
+                numbers.append(len(_NUMBER.findall(text)))
                 words.append(list(map(slot, c)))
                 counts.append(c.values())
                 freq.append([f for f, _ in spectrum])
@@ -112,14 +118,14 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             words, counts = nested(words, np.int64), nested(counts, np.int32)
             pages = page_keys(words.values.to_numpy(), counts.values.to_numpy(), words.offsets.to_numpy()[:-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(pages), pa.array(n, pa.int32()), words, counts, nested(freq, np.int32), nested(n_freq, np.int32)],
-                names=["doc_id", "lang", "page", "n", "words", "counts", "freq", "n_freq"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(pages), pa.array(n, pa.int32()), pa.array(numbers, pa.int32()), words, counts, nested(freq, np.int32), nested(n_freq, np.int32)],
+                names=["doc_id", "lang", "page", "n", "numbers", "words", "counts", "freq", "n_freq"],
             )
 
     code = normal_lang(F.col("lang"))
     # two-letter codes only, so that there are no more norms and prose counts than such codes
     source = documents.select(F.col("doc_id").cast("long"), F.when(F.length(code) == 2, code).otherwise("?").alias("lang"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id bigint, lang string, page bigint, n int, words array<bigint>, counts array<int>, freq array<int>, n_freq array<int>")
+    return source.mapInArrow(run, "doc_id bigint, lang string, page bigint, n int, numbers int, words array<bigint>, counts array<int>, freq array<int>, n_freq array<int>")
 
 
 def one_of_each(prints: DataFrame) -> DataFrame:
@@ -267,7 +273,9 @@ def judge_pages(documents: DataFrame) -> DataFrame:
     far = (F.col("divergence") > FAR) | ((F.col("divergence") > FAR_WITH_CURVE) & (F.col("curve") > EXTREME))
     alone = F.col("ordinary") & (F.col("from_others") > FAR_FROM_OTHERS) & (above["from_others"] > ABOVE)
     verdict = judged.withColumn("excess", above["divergence"]).withColumn("spam", far & (above["divergence"] > ABOVE) | alone).join(single, "doc_id").drop("doc_id", "lang")
-    return prints.select("doc_id", "lang", "page").join(verdict, "page").drop("page")
+    # numbers are no words, so copies may differ in them
+    listed = (F.col("curve") > EXTREME) & (F.col("excess") > ABOVE_IF_REPEATED) & (F.col("n") >= REPEATED * F.exp("types")) & (F.col("numbers") < NUMBERS * F.col("n"))
+    return prints.select("doc_id", "lang", "page", "n", "numbers").join(verdict, "page").withColumn("spam", F.col("spam") | listed).drop("page", "n", "numbers")
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:

@@ -90,3 +90,17 @@ def test_page_keys_ignore_order(spark):
     rows = [(1, "a b c d a b c a b a", "en", None), (2, "D c b a; c b a 7 b a a!", None, None), (3, "a b c d a b c a b b", "en", None)]
     key = {r.doc_id: r.page for r in s.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert key[1] == key[2] != key[3]
+
+
+def test_repeated_words_of_the_corpus(spark):
+    rng = random.Random(5)
+    letters = "bcdfghklmnprstvw"
+    usual, rest = [a + "o" for a in letters[:10]], [a + "a" + b for a in letters for b in letters][:160]
+    rows = [(i, " ".join(rng.choice(usual if rng.random() < 0.5 else rest) for _ in range(rng.randint(50, 120))) + ".", "en", None) for i in range(300)]
+    words = [w for w in rest[20:30] for _ in range(8)]
+    rng.shuffle(words)
+    rows += [(1000, " ".join(words), "en", None), (1001, ". ".join(" ".join(words[i : i + 5]).capitalize() for i in range(0, 80, 5)), "en", None)]
+    rows += [(2000, "\n".join(f"{i + 1}. {' '.join(words[i : i + 5])} ..... {i}" for i in range(0, 80, 5)), "en", None)]
+    judged = {r.doc_id: r for r in s.judge_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert judged[1000].divergence < s.FAR_WITH_CURVE and judged[1000].curve > s.EXTREME
+    assert sorted(k for k, r in judged.items() if r.spam) == [1000, 1001]

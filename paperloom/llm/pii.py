@@ -36,7 +36,7 @@ from paperloom.session import materialize
 ROUNDS = 4
 #: Belief added to the denominators, so that rare patterns and instances stay modest.
 DOUBT = 1.5
-#: Belief from which an instance is trusted, as a share of the best belief among those that are no seeds (of all names):
+#: Belief from which an instance is trusted, as a share of the best belief among those that are no seeds (names: not seeds alone):
 #: beliefs grow with the number of occurrences, their order does not. It must have been seen so often.
 TRUSTED = {"phone": 0.72, "id_number": 0.62, "address": 0.62, "name": 0.45}
 LEAST_SEEN = 3
@@ -87,7 +87,7 @@ _TITLE = "|".join(TITLES)
 _NAME = regex.compile(
     rf"(?<![\p{{L}}\p{{N}}@._/\\-])(?:(?P<title>(?i:{_TITLE}))\.?\s+)?"
     rf"(?P<words>(?:\p{{Lu}}\.\s?){{1,3}}\s?(?:(?i:{'|'.join(PARTICLES)})[\s-]){{0,3}}\p{{Lu}}[\p{{L}}'’-]+(?:-\p{{L}}+)*"
-    rf"|(?:(?i:al|el)-)?\p{{Lu}}[\p{{L}}'’-]+(?:(?:[ \t]+|[ \t]*\r?\n[ \t]*)(?:[“\"'‘]\p{{Lu}}\p{{L}}+[”\"'’]|\p{{Lu}}\.|(?:{'|'.join(PARTICLES)})\b|(?:al|el)-\p{{Lu}}[\p{{L}}'’-]+|\p{{Lu}}[\p{{L}}'’-]+|&)){{0,6}})"
+    rf"|(?(title)(?:(?:{'|'.join(PARTICLES)})[ \t]+){{0,3}}|)(?:(?i:al|el)-)?\p{{Lu}}[\p{{L}}'’-]+(?:(?:[ \t]+|[ \t]*\r?\n[ \t]*)(?:[“\"'‘]\p{{Lu}}\p{{L}}+[”\"'’]|\p{{Lu}}\.|(?:{'|'.join(PARTICLES)})\b|(?:al|el)-\p{{Lu}}[\p{{L}}'’-]+|\p{{Lu}}[\p{{L}}'’-]+|&)){{0,6}})"
     rf"(?:,?\s+(?P<suffix>Jr|Sr|II|III|IV)\b\.?)?"
 )
 _CONTEXT = regex.compile(r"[\p{L}\p{N}'’]+|[:;,.!?\x1e(]")
@@ -202,6 +202,14 @@ def name_parts(words: str) -> tuple[str, str] | None:
     return ("" if initials else core[0].lower().rstrip("."), heads[0].lower().replace("’", "'"))
 
 
+def titled_family(words: str) -> str | None:
+    """Family name of a word group behind a title, lower case: its last word; None if it holds no name."""
+    core = [t for t in words.split() if t.lower() not in PARTICLES and not re.fullmatch(r"[“\"'‘].*[”\"'’]|[^\W\d_]\.", t)]
+    if not core or "&" in core or core[-1].lower() in (*FIRMS, *TITLES, *SUFFIXES, *STREET_SEEDS):
+        return None
+    return core[-1].lower().replace("’", "'")
+
+
 def in_capitals(text: str, start: int, end: int) -> bool:
     """Whether a span and a word beside it are written in capitals, so that capitals say nothing."""
     if not text[start:end].isupper():
@@ -270,14 +278,16 @@ def candidates_of(text: str) -> list[tuple[str, str, bool, int, int, list[str]]]
         title, suffix, words = m.group("title"), m.group("suffix"), m.group("words")
         if words.split()[-1].lower() in SUFFIXES:
             words, suffix = words.rsplit(None, 1)[0] if len(words.split()) > 1 else words, words.split()[-1]
-        parts = name_parts(words)
+        parts = None if words.split()[0] in PARTICLES else name_parts(words)
         behind = _WORD.match(text[m.end() :].lstrip(" ")[:20])
         firm = text[m.end() : m.end() + 3].lstrip().startswith("&") or (behind is not None and behind.group(0).lower() in FIRMS)
         if "\n" in words.strip() or (words.isupper() and len(words.split()) > 1):
             continue  # two lines may hold two things, and capitals alone say nothing: the lexicon finds such names later
         if parts is None:
-            if title and len(m.group("words").split()) <= 3 and not firm:
-                found.append(("titled", m.group("words").lower(), True, m.start(), m.end(), contexts(text, *m.span())))
+            # "miss" and the like in small letters may be another word
+            family = titled_family(words) if title and (title[0].isupper() or text[m.end("title")] == ".") and len(words.split()) <= 3 and not firm else None
+            if family:
+                found.append(("name", family, True, m.start(), m.end(), contexts(text, *m.span())))
             continue
         if firm or parts[1] in FIRMS:
             continue
@@ -501,7 +511,7 @@ def find_personal(inputs: DataFrame, id_col: str = "input_id", fields: tuple[str
     near = open_.join(patterns.select("graph", "pattern", "score"), ["graph", "pattern"], "left").groupBy("id", "field", "start", "end", "graph", "instance", "seed").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("near"))
     judged = near.join(belief, ["graph", "instance"])
     seen = F.col("total") >= LEAST_SEEN
-    best = {r["graph"]: r["best"] for r in belief.where(seen & ((F.col("graph") == "name") | (F.col("prior") < 0.5))).groupBy("graph").agg(F.max("belief").alias("best")).collect()}  # one number a graph
+    best = {r["graph"]: r["best"] for r in belief.where(seen & (F.col("prior") < F.when(F.col("graph") == "name", 0.9).otherwise(0.5))).groupBy("graph").agg(F.max("belief").alias("best")).collect()}  # one number a graph
     share = lambda g, part: F.lit(best.get(g, 2.0) * part)
     level = lambda parts: F.when(F.col("graph") == "phone", share("phone", parts["phone"])).when(F.col("graph") == "id_number", share("id_number", parts["id_number"])).when(F.col("graph") == "address", share("address", parts["address"])).otherwise(F.lit(2.0))
     trust, needed = level(TRUSTED), level(dict.fromkeys(TRUSTED, NEEDED_PATTERN))

@@ -81,3 +81,12 @@ def test_plain_text_maps_back():
 def test_masked_values_are_no_candidates():
     for text in ("XXX-XX-1234", "j***@example.com", "[NAME REDACTED]", "(***) ***-0171"):
         assert not [x for x in p.candidates_of(f"It says {text} here.") if x[0] in ("number", "email")]
+
+
+def test_titles_alone_make_a_name(spark):
+    rows, truth = corpus()
+    titled = ["Ms. Okafor spoke first.", "According to Dr. Halvern, it was late.", "Mr. de la Cruz and two others left."]
+    more = [(9100 + i, x, None, None) for i, x in enumerate(titled)] + [(9110, "We miss Harbor days. Mr. Pell & Sons Hauling paid.", None, None)]
+    df = spark.createDataFrame([*rows, *more], SCHEMA)
+    got = {(r.id, r.field, r.kind) for r in p.personal_kinds(p.find_personal(df)).collect()}
+    assert got == truth | {(9100 + i, "case_summary", "name") for i in range(len(titled))}, (sorted(got - truth)[:8], sorted(truth - got)[:5])

@@ -6,7 +6,8 @@ this library, documented because no reference fixes them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,15 +42,33 @@ def hashed_embedding(df: DataFrame, text: str = "text", out: str = "content_vect
     return df.withColumn(out, embed(slots, signs))
 
 
+#: Queries scored at once; more are taken in several blocks.
+MOST_QUERIES = 4096
+
+
+def in_blocks(queries: DataFrame, score: Callable[[list], DataFrame]) -> DataFrame:
+    """The union of ``score`` over the rows of ``queries`` in blocks of at most ``MOST_QUERIES``; once for no rows."""
+    made, rows = [], []
+    for r in queries.toLocalIterator():
+        rows.append(r)
+        if len(rows) == MOST_QUERIES:
+            made.append(score(rows))
+            rows = []
+    if rows or not made:
+        made.append(score(rows))
+    return reduce(DataFrame.unionByName, made)
+
+
 def nearest(index: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_id", vector: str = "content_vector", query_key: str = "query_id") -> DataFrame:
     """Exact cosine top ``k`` of the index for each query: (query_id, key, score, rank), ties by key.
 
-    The query set is bounded by ``MOST_QUERIES`` per round; each task scores its rows against the block of queries as one
+    The queries are taken in blocks of at most ``MOST_QUERIES``; each task scores its rows against the block of queries as one
     matrix product and keeps k per query, so what is shuffled is k rows per query and task.
     """
-    rows = queries.select(query_key, vector).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries a call; split the query table")
+    return in_blocks(queries.select(query_key, vector), lambda rows: _nearest(index, queries, rows, k, key, vector, query_key))
+
+
+def _nearest(index: DataFrame, queries: DataFrame, rows: list, k: int, key: str, vector: str, query_key: str) -> DataFrame:
     if not rows:
         return index.select(F.lit(None).cast(queries.schema[query_key].dataType).alias(query_key), F.col(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     matrix = np.asarray([r[vector] for r in rows], dtype=np.float64)
@@ -76,24 +95,23 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-MOST_QUERIES = 4096
-
-
 def bm25(index: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_id", text: str = "text", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
     """BM25 top ``k`` per query: (query_id, key, score, rank), ties by key; rows that share no term with a query are not
     ranked for it.
 
-    The stated queries, at most ``MOST_QUERIES`` a call, are scored in blocks: a task turns its rows into weights of the
+    The queries are scored in blocks of at most ``MOST_QUERIES``: a task turns its rows into weights of the
     query terms and multiplies them with the queries, so a term that every row has costs no join. Document frequencies
     of the query terms and the mean length come from one aggregation before.
     """
-    asked = queries.select(query_key, F.array_distinct(terms(F.col(query_text))).alias("_t")).limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries a call; split the query table")
-    names = sorted({t for r in asked for t in r["_t"]})
-    types = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
     docs = index.select(key, terms(F.col(text)).alias("_t"))
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("mean")).first()
+    asked = queries.select(query_key, F.array_distinct(terms(F.col(query_text))).alias("_t"))
+    return in_blocks(asked, lambda rows: _bm25(index, queries, docs, stats, rows, k, key, query_key))
+
+
+def _bm25(index: DataFrame, queries: DataFrame, docs: DataFrame, stats, asked: list, k: int, key: str, query_key: str) -> DataFrame:
+    names = sorted({t for r in asked for t in r["_t"]})
+    types = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
     wanted = queries.sparkSession.createDataFrame([(t,) for t in names], "term string")
     frequency = {r["term"]: r["n"] for r in docs.select(F.explode(F.array_distinct("_t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")).collect()}
     idf = np.asarray([np.log(1 + (stats["n"] - frequency.get(t, 0) + 0.5) / (frequency.get(t, 0) + 0.5)) for t in names])

@@ -343,3 +343,16 @@ def test_export_status(spark):
     done = spark.createDataFrame([("a", 3, 9)], "source_pdf_path string, page_count int, content_length int")
     bad = spark.createDataFrame([("b", "E", "m")], "source_pdf_path string, error_type string, error_message string")
     assert rows(review.export_status(s, done, bad).select("source_pdf_path", "status"), "source_pdf_path") == [("a", "skipped_existing"), ("b", "failed"), ("c", "exported")]
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    from paperloom.operators import retrieval
+
+    rows = [(i, f"w{i % 5} w{i % 7} x", [float(i % 5), 1.0, float(i % 7)]) for i in range(30)]
+    index = spark.createDataFrame(rows, "chunk_id long, text string, content_vector array<float>")
+    asked = index.where("chunk_id < 9").selectExpr("chunk_id AS query_id", "text AS query", "content_vector")
+    searches = (lambda: retrieval.nearest(index, asked, 3), lambda: retrieval.bm25(index, asked, 3))
+    rounded = lambda df: {(r.query_id, r.chunk_id, r["rank"], round(r.score, 9)) for r in df.collect()}
+    whole = [rounded(f()) for f in searches]
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
+    assert [rounded(f()) for f in searches] == whole and all(len(x) == 27 for x in whole)

@@ -15,6 +15,8 @@ copied to every salt.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,23 +95,26 @@ def direct_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     return states.select("table_name", "row_id", "at", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
-def cascade(direct: DataFrame, provides: DataFrame, uses: DataFrame, rows: DataFrame, max_rounds: int = 50) -> DataFrame:
+def cascade(direct: DataFrame, provides: DataFrame, uses: DataFrame, rows: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """All orphans with ``inherited`` (false for the direct ones) and ``round`` (0 for the direct ones).
 
     ``provides`` and ``uses`` are the foreign-key graph as (table_name, row_id, link): a record provides the link keys
     under which others find it and uses those of the records it needs. ``rows`` has (table_name, row_id, at) of all
     records, for the times of inherited orphans. A link that nobody provides is none of this graph's concern.
+    Rounds go on until one finds nothing new; more than ``max_rounds`` with finds, if given, are an error.
     """
     links = materialize(provides.where(F.col("link").isNotNull()).distinct(), "orphan-provides")
     needs = materialize(uses.where(F.col("link").isNotNull()).distinct(), "orphan-uses")
     found = materialize(direct.select("table_name", "row_id", "at", "reason", F.lit(False).alias("inherited"), F.lit(0).alias("round")), "orphan-direct")
-    for turn in range(1, max_rounds + 1):
+    for turn in count(1):
         marked = links.join(found.select("table_name", "row_id", F.lit(1).alias("lost")), ["table_name", "row_id"], "left")
         gone = marked.groupBy("link").agg(F.min(F.coalesce("lost", F.lit(0))).alias("lost")).where("lost = 1").select("link")
         ids = needs.join(gone, "link", "left_semi").select("table_name", "row_id").distinct().join(found, ["table_name", "row_id"], "left_anti")
         new = materialize(rows.select("table_name", "row_id", "at").join(ids, ["table_name", "row_id"], "left_semi").select("table_name", "row_id", "at", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("inherited"), F.lit(turn).alias("round")), "orphan-round")
         if new.isEmpty():
             break
+        if max_rounds is not None and turn > max_rounds:
+            raise RuntimeError(f"orphans are still found after {max_rounds} rounds")
         found = found.unionByName(new)
     return found
 

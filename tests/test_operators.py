@@ -356,3 +356,20 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     whole = [rounded(f()) for f in searches]
     monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
     assert [rounded(f()) for f in searches] == whole and all(len(x) == 27 for x in whole)
+
+
+def test_orphans_on_deep_chains(spark):
+    import inspect
+
+    import pytest
+
+    from paperloom.operators import orphans
+
+    n = 4
+    rows = spark.range(n).selectExpr("'t' AS table_name", "id AS row_id", "timestamp'2020-01-01' AS at")
+    provides, uses = rows.selectExpr("table_name", "row_id", "row_id AS link"), rows.where("row_id > 0").selectExpr("table_name", "row_id", "row_id - 1 AS link")
+    direct = rows.where("row_id = 0").selectExpr("*", "'missing' AS reason")
+    assert sorted(r["round"] for r in orphans.cascade(direct, provides, uses, rows).collect()) == list(range(n))
+    assert inspect.signature(orphans.cascade).parameters["max_rounds"].default is None
+    with pytest.raises(RuntimeError):
+        orphans.cascade(direct, provides, uses, rows, max_rounds=2)

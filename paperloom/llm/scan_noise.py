@@ -12,24 +12,26 @@ files, where a heading of the manual would spread over all, and damaged copies o
 by comparing how often the corpus writes the joined and the hyphenated form.
 
 Scale: two passes over the texts, both without a shuffle of texts. What is shuffled are word and pair counts, combined
-per task first, candidate lines and suspicious runs. Workers get a Bloom filter of fixed size and the channel table,
-whose size is that of the inventory of confusions; everything else is joined.
+per task first, candidate lines and suspicious words. Workers get Bloom filters sized by the vocabulary, of at most 32 MB
+(a larger vocabulary is walked part by part), and the channel table, whose size is that of the inventory of confusions;
+everything else is joined.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
+from zlib import crc32
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.filters import Filter, parts_for, prefixes
+from paperloom.llm.filters import build as build_filter
 from paperloom.session import default_partitions, materialize
 
 # File types of scanned pages.
@@ -42,12 +44,6 @@ CONFUSIONS = [
     ("i", "1"), ("i", "l"), ("i", "|"), ("i", "í"), ("i", "!"), ("l", "1"), ("l", "i"), ("l", "|"), ("l", "!"), ("m", "rn"), ("m", "nn"), ("m", "iii"), ("n", "ri"), ("n", "u"), ("n", "ii"), ("o", "0"), ("o", "ó"), ("o", "c"), ("q", "9"),
     ("rn", "m"), ("s", "5"), ("s", "$"), ("t", "f"), ("t", "+"), ("t", "7"), ("u", "n"), ("u", "ii"), ("u", "v"), ("v", "u"), ("v", "y"), ("w", "vv"), ("y", "v"), ("z", "2"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ri", "n"),
 ]
-#: Longer tokens are codes, not words that may be misread.
-MOST_LETTERS = 40
-#: Lines below a divided line end among which the rest of the word is looked for.
-REST_WITHIN = 12
-#: Most confusions undone in one word.
-MAX_EDITS = 4
 #: A confusion is used if it explains at least this share of its character's occurrences.
 LEAST_RATE = 2e-5
 #: A misread word shows this share of its confusable characters misread at most.
@@ -58,12 +54,15 @@ TOLERANCE = 10.0
 EXPLAINED = 0.5
 #: Texts that were not scanned hold no misreadings: at most this share of a suspicious word's count is theirs.
 CLEAN = 0.02
-#: Bits of the Bloom filter of suspicious words: 1 MB whatever the corpus; false positives are removed by a join.
-BLOOM_BITS = 1 << 23
 #: Distinct entries a task collects before it hands them on.
 FLUSH = 400_000
-#: Largest share of a header's characters that a damaged copy may differ in.
-DAMAGE = 0.2
+#: Largest share of a header's characters in which a damaged copy in its file may differ, and the same for one in a file that
+#: shows it damaged only; characters above which the damage grows no more, and below which a header is one of its own files.
+DAMAGE, DAMAGE_ELSEWHERE, DAMAGE_UP_TO, SHORT_HEADER = 0.2, 0.1, 100, 9
+#: How many times rarer than its header a repeated damaged copy is.
+RARER = 30
+#: Pairs of a file's templates and headers that are compared directly; those of a busier file meet by pieces.
+PAIRS_OF_FILE = 10_000
 #: How much more a line template must crowd into files than chance would have it.
 CROWDED = 1.5
 #: Share of a template's copies that must interrupt a sentence which reads on behind them.
@@ -96,10 +95,10 @@ def is_page_number(line: str) -> bool:
 
 
 def is_header_like(line: str) -> bool:
-    """A short line without lower-case words in a row, half of whose longer words are capitalised: a header, stamp,
-    heading or the like, even if a letter of it is misread."""
+    """A line without lower-case words in a row, half of whose longer words are capitalised: a header, stamp, heading or
+    the like, even if a letter of it is misread."""
     s = line.strip()
-    if not 3 < len(s) <= 100 or _LOWRUN.search(s) or _META.match(s) or len(_LETTER.findall(s)) < 4:
+    if len(s) <= 3 or _LOWRUN.search(s) or _META.match(s) or len(_LETTER.findall(s)) < 4:
         return False
     words = _LONG.findall(s)
     capitals = sum(not w[0].islower() for w in words)
@@ -112,13 +111,13 @@ def template(line: str) -> str:
 
 
 def bare(token: str) -> str:
-    """A token as the language model counts it; numbers and codes are one word each."""
+    """A token as the language model counts it; numbers are one word, and so are codes, which have more digits than letters."""
     w = token.strip(_EDGE).lower()
     digits = sum(map(str.isdigit, w))
     if not digits:
         return w
     letters = len(_LETTER.findall(w))
-    return "#" if not letters else w if letters > digits and letters >= 2 and "§" not in w else "#code"
+    return "#" if not letters else w if letters >= digits and "§" not in w else "#code"
 
 
 class _Bare(dict):
@@ -143,7 +142,7 @@ def divided_words(lines: list[str]) -> list[tuple[int, int, str, str]]:
         left = left.lstrip(_EDGE + "—–/")
         if not left or not _LETTER.search(left[-1]) and not left[-1].isalnum() and left[-1] != "|":
             continue
-        for j in range(i + 1, min(len(lines), i + 1 + REST_WITHIN)):
+        for j in range(i + 1, len(lines)):  # up to the first line of running text
             t = lines[j].strip()
             if not t or is_page_number(t) or is_header_like(t) or _META.match(t):
                 continue
@@ -174,8 +173,8 @@ def running_words(lines: list[str], divided: list[tuple[int, int, str, str]]) ->
 
 def interrupted(lines: list[str], i: int) -> str | None:
     """What line ``i`` stands between, if a sentence seems to go on behind it: last word above, first below, its own first."""
-    above = next((t for t in (lines[k].strip() for k in range(i - 1, max(-1, i - 6), -1)) if t and not is_page_number(t)), "")
-    below = next((t for t in (lines[k].strip() for k in range(i + 1, min(len(lines), i + 6))) if t and not is_page_number(t)), "")
+    above = next((t for t in (lines[k].strip() for k in range(i - 1, -1, -1)) if t and not is_page_number(t)), "")
+    below = next((t for t in (lines[k].strip() for k in range(i + 1, len(lines))) if t and not is_page_number(t)), "")
     if not above or not below or above[-1] in ".!?:;" or not below[0].islower() or _META.match(above):
         return None
     if above[-1] in HYPHENS:
@@ -229,7 +228,7 @@ def count_pass(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
                         rows.append((chunk, file, "divided", i, j, left.lower(), right.lower(), 1))
                         words[_bare[right]] -= 1
                     for i, line in enumerate(lines):
-                        if len(line) > 110 or not line:
+                        if not line:
                             continue
                         if is_page_number(line):
                             rows.append((chunk, file, "page", i, None, None, None, 1))
@@ -254,7 +253,7 @@ def count_pass(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def header_lines(marks: DataFrame, counts: DataFrame) -> DataFrame:
-    """(chunk_id, line) of running headers.
+    """(chunk_id, line) of running headers and their damaged copies.
 
     A template is a header if it crowds into few files, or if its copies interrupt sentences: the words around it are
     a pair that the corpus writes more often than the pair of the word above and the line's own first word.
@@ -263,104 +262,160 @@ def header_lines(marks: DataFrame, counts: DataFrame) -> DataFrame:
     a template would reach if its copies fell on chunks at random follows from the sizes of the files (a histogram of at
     most 64 classes); a header reaches far fewer.
     """
-    lines = marks.where("kind = 'line'").select("chunk_id", "file", "line", F.col("a").alias("template"), F.col("b").alias("around")).dropDuplicates(["chunk_id", "line"])
+    lines = materialize(marks.where("kind = 'line'").select("chunk_id", "file", "line", F.col("a").alias("template"), F.col("b").alias("around")).dropDuplicates(["chunk_id", "line"]), "scan-lines")
     per_file = lines.groupBy("template", "file").agg(F.count_distinct("chunk_id").alias("n"))
     spread = per_file.groupBy("template").agg(F.sum("n").alias("n"), F.count("*").alias("n_files"))
     sizes = marks.select("file", "chunk_id").distinct().groupBy("file").agg(F.count("*").alias("size"))
     histogram = [(float(r["size"]), r["files"]) for r in sizes.groupBy(F.round(F.log2("size") * 2).alias("class")).agg(F.avg("size").alias("size"), F.count("*").alias("files")).collect()]
     total = sum(s * k for s, k in histogram) or 1.0
     expected = sum((F.lit(float(k)) * (1 - F.exp(-F.col("n") * F.lit(s / total))) for s, k in histogram), F.lit(0.0))
-    repeated = spread.where(F.col("n") >= LEAST_COPIES).withColumn("crowded", expected / F.col("n_files") >= CROWDED)
-    open_ = lines.join(repeated.where(~F.col("crowded")).select("template"), "template", "left_semi")
-    pairs = counts.where("kind = 'b'").select("a", "b", "n")
+    repeated = materialize(spread.where(F.col("n") >= LEAST_COPIES).select("template", "n", (expected / F.col("n_files") >= CROWDED).alias("crowded")), "scan-repeated")
+    # a template's copies by what stands around them; both questions of a copy meet the pair counts in one join
+    open_ = lines.join(repeated.where(~F.col("crowded")).select("template"), "template", "left_semi").groupBy("template", "around").agg(F.count("*").alias("copies"))
     words = F.split("around", "\t")
-    between = open_.select("template", "chunk_id", "line", "around", words[0].alias("above"), F.try_element_at(words, F.lit(2)).alias("below"), F.try_element_at(words, F.lit(3)).alias("first"))
-    read_on = between.join(pairs.select(F.col("a").alias("above"), F.col("b").alias("below"), F.col("n").alias("n_on")), ["above", "below"], "left").join(pairs.select(F.col("a").alias("above"), F.col("b").alias("first"), F.col("n").alias("n_in")), ["above", "first"], "left")
-    breaks = (F.col("around") == "-") | (F.coalesce("n_on", F.lit(0)) > F.coalesce("n_in", F.lit(0)))
-    interrupting = read_on.groupBy("template").agg((F.count_if(breaks) / F.count("*")).alias("share")).where(F.col("share") >= INTERRUPTS)
-    headers = materialize(repeated.where("crowded").select("template").unionByName(interrupting.select("template")), "scan-headers")
-    exact = lines.join(headers, "template", "left_semi")
-    rest = lines.join(headers, "template", "left_anti")
-    # damaged copies: against the headers of the same file, a few per file
-    own = exact.select("file", F.col("template").alias("header")).distinct()
-    near = F.levenshtein("template", "header") <= F.greatest(F.lit(1), F.floor(F.length("header") * DAMAGE))
-    in_file = rest.join(own, "file").where((F.abs(F.length("template") - F.length("header")) <= F.length("header") * DAMAGE) & near).select("chunk_id", "line")
-    # and where a file shows its header in damaged form only: templates that share a third with a header anywhere
-    damaged = in_thirds(rest.select("template").distinct(), "template").join(in_thirds(headers.select(F.col("template").alias("header")), "header"), ["part", "at", "size"]).where(near).select("template").distinct()
-    anywhere = rest.join(damaged, "template", "left_semi").select("chunk_id", "line")
-    return exact.select("chunk_id", "line").unionByName(in_file).unionByName(anywhere).distinct()
-
-
-def in_thirds(df: DataFrame, c: str) -> DataFrame:
-    """``c`` with each of its thirds; two strings of one length that differ in up to two characters share one."""
-    n = F.length(c)
-    third = F.greatest(F.lit(1), F.floor(n / 3)).cast("int")
-    part = F.when(F.col("at") == 2, F.substr(F.col(c), 2 * third + 1)).otherwise(F.substr(F.col(c), F.col("at") * third + 1, third))
-    return df.where(n >= 9).withColumn("at", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(c, "at", n.alias("size"), part.alias("part"))
+    asked = open_.select("template", "copies", "around", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.try_element_at(words, F.lit(2)).alias("b")), F.struct(F.lit(-1).alias("side"), F.try_element_at(words, F.lit(3)).alias("b")))).alias("q"), words[0].alias("a")).select("template", "around", "copies", "a", "q.side", "q.b")
+    pairs = counts.where("kind = 'b'").select("a", "b", F.col("n").alias("n_pair"))
+    told = asked.join(pairs, ["a", "b"], "left").groupBy("template", "around").agg(F.first("copies").alias("copies"), F.sum(F.col("side") * F.coalesce("n_pair", F.lit(0))).alias("more"))
+    breaks = (F.col("around") == "-") | (F.col("more") > 0)
+    interrupting = told.groupBy("template").agg((F.sum(F.when(breaks, F.col("copies")).otherwise(0)) / F.sum("copies")).alias("share")).where(F.col("share") >= INTERRUPTS)
+    headers = materialize(repeated.where("crowded").select("template").unionByName(interrupting.select("template")), "scan-header-templates")
+    headers = materialize(headers.join(repeated.select("template", "n"), "template"), "scan-headers")
+    anchors, elsewhere = anchor_headers(headers, spread.select("template"))
+    # in its file a header may be damaged more than elsewhere; a short one is known there only
+    own = materialize(per_file.where("file is not null").join(anchors.withColumn("is_header", F.lit(True)), "template", "left").select(F.col("file").alias("scope"), "template", F.coalesce("is_header", F.lit(False)).alias("is_header")), "scan-own")
+    busy = own.groupBy("scope").agg((F.count("*") * F.count_if("is_header")).alias("pairs")).where(F.col("pairs") > 0)
+    mine = own.join(busy, "scope").select("scope", "template", "is_header", (F.col("pairs") > PAIRS_OF_FILE).alias("busy"))
+    given = mine.where("is_header").select("scope", F.col("template").alias("header"), "busy")
+    few = mine.where("not busy").join(given.where("not busy").drop("busy"), "scope").where(F.levenshtein("template", "header") <= damage_of(F.length("header"), DAMAGE)).select("scope", "template")
+    many = near_headers(mine.where("busy").select("scope", "template"), given.where("busy").select("scope", "header"), DAMAGE)
+    anywhere = elsewhere.unionByName(headers.select("template")).select(F.lit("").alias("scope"), "template")
+    alike = few.unionByName(many).unionByName(anywhere).distinct()
+    scoped = lines.select("chunk_id", "line", "template", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("file", F.lit(""))))).alias("scope"))
+    return scoped.join(alike, ["scope", "template"], "left_semi").select("chunk_id", "line").distinct()
+
+
+def anchor_headers(headers: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(template) of the headers that are no damaged copies of much more frequent ones, and (template) of what is near
+    them anywhere.
+
+    A damaged copy of a header may itself be repeated; what is near such a copy only is no copy of the header. Rounds go
+    from the most frequent headers down by factors of ``RARER``, so there are as many as that fits into the largest count.
+    """
+    open_, rest = headers.where(F.length("template") >= SHORT_HEADER), materialize(templates.distinct(), "scan-templates")
+    anchors, found = headers.where(F.length("template") < SHORT_HEADER).select("template"), rest.limit(0)
+    while (most := open_.agg(F.max("n")).first()[0]) is not None:
+        level = open_.where(F.col("n") * RARER >= most).select("template")
+        near = materialize(near_headers(rest.select(F.lit("").alias("scope"), "template"), level.select(F.lit("").alias("scope"), F.col("template").alias("header")), DAMAGE_ELSEWHERE).select("template"), "scan-near")
+        anchors, found = anchors.unionByName(level), found.unionByName(near)
+        open_, rest = open_.join(near, "template", "left_anti"), rest.join(near, "template", "left_anti")
+    return anchors, found
+
+
+def damage_of(size: Column, damage: float) -> Column:
+    """Characters in which a copy of a header of that length may differ."""
+    return F.greatest(F.lit(1), F.floor(F.least(size, F.lit(DAMAGE_UP_TO)) * damage)).cast("int")
+
+
+def near_headers(templates: DataFrame, headers: DataFrame, damage: float) -> DataFrame:
+    """(scope, template) of the templates within the damage of a header of their scope: all of them, by pieces.
+
+    A template falls into one piece more than any header that is near it may differ from it, so one piece at least is
+    whole in such a header, shifted no further than the edits before and behind it allow. Headers list the pieces they
+    could share with a template of each length; a join on pieces gives the candidates.
+    """
+
+    def edits(size: Column) -> Column:
+        """The most that a header near a template of that length may differ from it: it is longer by no more than that."""
+        return damage_of(F.ceil(size / (1 - damage)), damage)
+
+    def bound(i: Column, n: Column, k: Column) -> Column:
+        """Where piece i of a text of length n cut into k + 1 pieces begins."""
+        return F.floor(i * n / (k + 1)).cast("int")
+
+    l, k, i = F.col("l"), F.col("k"), F.col("i")
+    begin, width = bound(i, l, k), bound(i + 1, l, k) - bound(i, l, k)
+    cut = templates.select("scope", "template", F.length("template").alias("l")).withColumn("k", edits(l)).withColumn("i", F.explode(F.sequence(F.lit(0), k)))
+    here = cut.select("scope", "template", "l", "i", F.substr("template", begin + 1, width).alias("piece"))
+    n, d = F.length("header"), damage_of(F.length("header"), damage)
+    there = headers.select("scope", "header", n.alias("n"), F.explode(F.sequence(F.greatest(F.lit(1), n - d), n + d)).alias("l")).withColumn("k", edits(l)).withColumn("i", F.explode(F.sequence(F.lit(0), k)))
+    more = F.col("n") - l
+    there = there.select("scope", "header", "n", "l", "i", width.alias("width"), F.greatest(F.lit(0), begin - i, begin + more - (k - i)).alias("low"), F.least(F.col("n") - width, begin + i, begin + more + (k - i)).alias("high"))
+    there = there.where("low <= high and width > 0").withColumn("at", F.explode(F.sequence("low", "high")))
+    there = there.select("scope", "header", "l", "i", F.substr("header", F.col("at") + 1, F.col("width")).alias("piece")).distinct()
+    pairs = here.join(there, ["scope", "l", "i", "piece"])
+    return pairs.where(F.levenshtein("template", "header") <= damage_of(F.length("header"), damage)).select("scope", "template").distinct()
 
 
 # --- misread words
 
 
-def meanings(word: str, undo: dict[str, list[tuple[str, int]]], longest: int, edits: int = MAX_EDITS) -> dict[str, tuple[int, ...]]:
-    """Words that some confusions turn into ``word``, with the confusions used (fewest edits first)."""
+def meanings(word: str, undo: dict[str, list[tuple[str, int]]], longest: int, may_hold: Callable[[int], bool], edits: int | None = None) -> dict[str, tuple[int, ...]]:
+    """Words that confusions turn into ``word``, with the confusions used (fewest first); at most ``edits`` if given.
+
+    The meant word grows character by character and is given up as soon as no known word begins so: ``may_hold`` tells of
+    the CRC-32 of a beginning, or of a whole word and ``END``. So the walk visits beginnings of known words only.
+    """
     found: dict[str, tuple[int, ...]] = {}
-    seen = {(word, 0)}
-    level = [(word, 0, ())]  # text so far, position from which edits may follow, confusions
-    for _ in range(edits):
-        below = []
-        for text, start, used in level:
-            for i in range(start, len(text)):
-                for k in range(1, min(longest, len(text) - i) + 1):
-                    for meant, number in undo.get(text[i : i + k], ()):
-                        new = text[:i] + meant + text[i + k :]
-                        state = (new, i + len(meant))
-                        if state not in seen:
-                            seen.add(state)
-                            below.append((*state, (*used, number)))
-                            found.setdefault(new, (*used, number))
-        level = below
-        if len(found) > 3000:  # beyond any real word: more confusable sites than letters of a word
-            break
-    found.pop(word, None)
+    size = len(word)
+    stack = [(0, 0, "", ())]  # characters read, checksum and text of what was meant so far, confusions
+    while stack:
+        i, crc, text, used = stack.pop()
+        if i == size:
+            if used and text != word and may_hold(crc32(b"\x00", crc)) and (text not in found or (len(used), used) < (len(found[text]), found[text])):
+                found[text] = used
+            continue
+        steps = [(word[i], 1, None)]
+        if edits is None or len(used) < edits:
+            for k in range(1, min(longest, size - i) + 1):
+                steps += [(meant, k, number) for meant, number in undo.get(word[i : i + k], ())]
+        for meant, k, number in steps:
+            c = crc
+            for x in meant:
+                c = crc32(x.encode("utf-8", "surrogatepass"), c)
+                if not may_hold(c):
+                    break
+            else:
+                stack.append((i + k, c, text + meant, used if number is None else (*used, number)))
     return found
 
 
 def correction_model(words: DataFrame) -> DataFrame:
-    """(word, meant, score): for each suspicious word what it may stand for and the log probability of that reading.
+    """(word, n, meant, n_meant, score, explained): for each suspicious word what it may stand for and the log probability of
+    that reading.
 
     ``words`` has word, n and n_clean (its count in texts that were not scanned). The channel is estimated from clear
     cases (one confusion, the meant word at least fifty times as frequent); it has one number per confusion of the
     inventory.
     """
-    known = words.where("n >= 3")
-    shared = words.sparkSession.sparkContext.broadcast(bloom_of(known))
+    known = words.where("n > 0").select("word", "n")
+    letters = known.agg(F.sum(F.length("word") + 1)).first()[0] or 0
+    parts = parts_for(letters)  # one, unless the vocabulary outgrows a filter; then each part of it is walked by itself
+    part = F.pmod(F.xxhash64("word"), F.lit(parts))
+    shared = [words.sparkSession.sparkContext.broadcast(build_filter(known.where(part == k).select(F.explode(prefixes(F.col("word"))).alias("prefix")), "prefix", letters // parts).table) for k in range(parts)]
 
     # words are few bytes but much work each, so they are spread by number, not by size
     doubtful = words.where(F.col("n_clean") <= CLEAN * F.col("n")).select("word", "n").repartition(default_partitions(words.sparkSession))
     partners = known.select(F.col("word").alias("meant"), F.col("n").alias("n_meant"))
 
-    def candidates(numbers: list[int], edits: int) -> DataFrame:
-        """Known words that up to ``edits`` of the numbered confusions turn into a doubtful one."""
+    def candidates(numbers: list[int], edits: int | None) -> DataFrame:
+        """Known words that the numbered confusions (up to ``edits`` of them) turn into a doubtful one."""
         undo: dict[str, list[tuple[str, int]]] = {}
         for number in numbers:
             undo.setdefault(CONFUSIONS[number][1], []).append((CONFUSIONS[number][0], number))
         longest = max(map(len, undo), default=0)
 
         def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = shared.value
+            asked = [Filter(x.value).may_hold for x in shared]
             for batch in batches:
                 out: tuple[list, list, list, list] = ([], [], [], [])
                 for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if len(word) < 2 or len(word) > MOST_LETTERS or word.startswith("#"):
+                    if len(word) < 2 or word.startswith("#"):
                         continue
-                    for meant, used in meanings(word, undo, longest, edits).items():
-                        first, second = _bits(meant)
-                        if not (table[first >> 3] >> (first & 7) & 1 and table[second >> 3] >> (second & 7) & 1):
-                            continue  # no word of the corpus; what the filter lets through by chance has no partner in the join
-                        if meant.isalpha() or _WORDLIKE.fullmatch(meant) and not any(map(str.isdigit, meant)):
-                            for column, value in zip(out, (word, n, meant, used)):
-                                column.append(value)
+                    for may_hold in asked:  # what a filter lets through by chance has no partner in the join
+                        for meant, used in meanings(word, undo, longest, may_hold, edits).items():
+                            if meant.isalpha() or _WORDLIKE.fullmatch(meant) and not any(map(str.isdigit, meant)):
+                                for column, value in zip(out, (word, n, meant, used)):
+                                    column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.list_(pa.int32()))], names=["word", "n", "meant", "used"])
 
         return doubtful.mapInArrow(generate, "word string, n bigint, meant string, used array<int>").join(partners, "meant").where("n_meant > n")
@@ -371,7 +426,7 @@ def correction_model(words: DataFrame) -> DataFrame:
     shown = {m: exposure[f"e{i}"] or 0 for i, m in enumerate(sorted({m for m, _ in CONFUSIONS}))}
     rate = [seen.get(k, 0) / max(1, shown[m]) for k, (m, _) in enumerate(CONFUSIONS)]
     # only confusions this corpus shows are combined
-    found = candidates([k for k, r in enumerate(rate) if r >= LEAST_RATE], MAX_EDITS)
+    found = candidates([k for k, r in enumerate(rate) if r >= LEAST_RATE], None)
     # few words are misread, but those in several characters: one word in ``burst``, in which a confusion is that much likelier
     burst = max(1.0, (words.agg(F.sum("n")).first()[0] or 1) / max(1, sum(seen.values())))
     channel = F.array(*(F.lit(log(min(r * burst, MOST_MISREAD)) if r >= LEAST_RATE else -100.0) for r in rate))
@@ -380,42 +435,21 @@ def correction_model(words: DataFrame) -> DataFrame:
     # misreadings of the meant word that the corpus should show; a joined word that it never writes has n = 0
     expected = F.col("n_meant") * F.exp("score")
     best = scored.withColumn("explained", F.sum(expected).over(Window.partitionBy("word")))
-    return best.where(F.col("explained") * TOLERANCE >= EXPLAINED * F.col("n")).select("word", "n", "meant", "score", "explained")
-
-
-def bloom_of(words: DataFrame) -> np.ndarray:
-    """Bits of the suspicious words, two per word, in a table of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: set[int] = set()
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                bits.update(_bits(w))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(bits), pa.int32())], names=["bit"])
-
-    table = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
-    got = words.select("word").distinct().mapInArrow(run, "bit int").distinct().toArrow()["bit"].to_numpy()
-    np.bitwise_or.at(table, got >> 3, (1 << (got & 7)).astype(np.uint8))
-    return table
-
-
-def _bits(word: str) -> tuple[int, int]:
-    raw = word.encode("utf-8", "surrogatepass")
-    return zlib.crc32(raw) % BLOOM_BITS, zlib.adler32(raw + b"\x01" + raw[::-1]) % BLOOM_BITS
+    return best.where(F.col("explained") * TOLERANCE >= EXPLAINED * F.col("n")).select("word", "n", "meant", "n_meant", "score", "explained")
 
 
 class _Suspects(dict):
-    """Whether a token may be suspicious, asked of the Bloom filter once per distinct token."""
+    """Whether a token may be suspicious, asked of the filter once per distinct token."""
 
-    def __init__(self, table: np.ndarray):
+    def __init__(self, table: bytes):
         super().__init__()
-        self.table = table
+        self.may_hold = Filter(table).may_hold_text
 
     def __missing__(self, token: str) -> str | None:
         if len(self) > 500_000:
             self.clear()
         w = _bare[token]
-        hit = not w.startswith("#") and all(self.table[b >> 3] >> (b & 7) & 1 for b in _bits(w))
+        hit = not w.startswith("#") and self.may_hold(w)
         r = self[token] = w if hit else None
         return r
 
@@ -423,10 +457,10 @@ class _Suspects(dict):
 _suspects: list = [None, None]
 
 
-def suspicious_runs(chunks: DataFrame, bloom: np.ndarray) -> DataFrame:
-    """Second pass over scanned texts: (chunk_id, run, line, at, left, words, right) of runs of suspicious words."""
-    shared = chunks.sparkSession.sparkContext.broadcast(bloom)
-    key = zlib.crc32(bloom.tobytes())
+def suspicious_places(chunks: DataFrame, suspects: Filter) -> DataFrame:
+    """Second pass over scanned texts: (chunk_id, at, line, word, before, behind) of words that may be suspicious."""
+    shared = chunks.sparkSession.sparkContext.broadcast(suspects.table)
+    key = crc32(suspects.table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _suspects[0] != key:
@@ -440,64 +474,57 @@ def suspicious_runs(chunks: DataFrame, bloom: np.ndarray) -> DataFrame:
                 if not any(map(ask.__getitem__, text.split())) and not any(ask[left + right] for _, _, left, right in divided):
                     continue
                 words = running_words(lines, divided)
-                hits = [k for k, (_, w) in enumerate(words) if ask[w] is not None]
-                k = 0
-                while k < len(hits):
-                    end = k
-                    while end + 1 < len(hits) and hits[end + 1] == hits[end] + 1:
-                        end += 1
-                    a, b = hits[k], hits[end]
-                    rows.append((chunk, a, [words[x][0] for x in range(a, b + 1)], _bare[words[a - 1][1]] if a else "", [_bare[words[x][1]] for x in range(a, b + 1)], _bare[words[b + 1][1]] if b + 1 < len(words) else ""))
-                    k = end + 1
+                last = len(words) - 1
+                for k, (line, w) in enumerate(words):
+                    hit = ask[w]
+                    if hit is not None:
+                        rows.append((chunk, k, line, hit, _bare[words[k - 1][1]] if k else "", _bare[words[k + 1][1]] if k < last else ""))
             columns = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()), pa.string()))], names=["chunk_id", "run", "lines", "left", "words", "right"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()))], names=["chunk_id", "at", "line", "word", "before", "behind"])
 
     source = chunks.where("scanned and text is not null").select("chunk_id", "text")
-    return source.mapInArrow(run, "chunk_id string, run int, lines array<int>, left string, words array<string>, right string")
+    return source.mapInArrow(run, "chunk_id string, at int, line int, word string, before string, behind string")
 
 
 #: Weight of the word count behind a pair count, as so many pairs.
 BACKOFF = 20.0
 
 
-def decode_runs(runs: DataFrame, model: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+def decode_runs(places: DataFrame, model: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """(chunk_id, line, at, word, meant) of the words that the best path through their run replaces.
 
-    The lattice of a run has the word itself and its meanings at each place; a step costs the channel and the pair
+    The join with the model leaves suspicious words only; neighbours among them are a run, between certain words. The
+    lattice of a run has the word itself and its meanings at each place; a step costs the channel and the pair
     probability, smoothed by the word counts. A suspicious word's own count is not believed: misreadings explain it.
     """
-    # one row per place; runs are as long as their words are suspicious in a row
-    places = runs.select("chunk_id", "run", "left", "right", F.size("words").alias("len"), F.posexplode(F.arrays_zip("lines", "words")).alias("at", "w")).select("chunk_id", "run", "left", "right", "len", "at", F.col("w.lines").alias("line"), F.col("w.words").alias("word"))
-    options = model.groupBy("word").agg(F.first("n").alias("n"), F.first("explained").alias("explained"), F.collect_list(F.struct("meant", "score")).alias("meanings"))  # as many as a word has readings
-    lattice = places.join(options, "word", "left")
-    stay = F.array(F.struct(F.col("word").alias("meant"), F.lit(0.0).alias("score")))
-    lattice = lattice.withColumn("options", F.concat(stay, F.coalesce("meanings", F.array().cast("array<struct<meant:string,score:double>>")))).select("chunk_id", "run", "len", "left", "right", "at", "line", "word", "options", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("explained", F.lit(0.0)).alias("explained"))
-    whole = lattice.groupBy("chunk_id", "run").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.array_sort(F.collect_list(F.struct("at", "line", "word", "options", "n", "explained"))).alias("places"))
+    options = model.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.struct("meant", F.col("n_meant").alias("count"), "score")).alias("meanings"))  # as many as a word has readings
+    # places of one run have the same distance between place and rank; a chunk has no more places than words
+    nth = F.dense_rank().over(Window.partitionBy("chunk_id").orderBy("at"))
+    stay = F.array(F.struct(F.col("word").alias("meant"), F.col("n").alias("count"), F.lit(0.0).alias("score")))
+    lattice = places.join(options, "word").withColumn("run", F.col("at") - nth).withColumn("options", F.concat(stay, "meanings"))
+    whole = lattice.groupBy("chunk_id", "run").agg(F.min_by("before", "at").alias("left"), F.max_by("behind", "at").alias("right"), F.array_sort(F.array_distinct(F.collect_list(F.struct("at", "line", "word", "n", "options")))).alias("places"))
     whole = materialize(whole, "scan-lattice")
-    names = F.transform("places", lambda p: F.transform(p["options"], lambda o: o["meant"]))
-    ends = F.concat(F.array(F.array("left")), names, F.array(F.array("right")))
-    steps = F.flatten(F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.flatten(F.transform(F.element_at(ends, i), lambda a: F.transform(F.element_at(ends, i + 1), lambda b: F.struct(a.alias("a"), b.alias("b")))))))
-    needed = whole.select("chunk_id", "run", F.explode(F.array_distinct(steps)).alias("s")).select("chunk_id", "run", "s.a", "s.b")
-    singles = counts.where("kind = 'u'").select(F.col("a").alias("w"), "n")
+    # one row per step of a place, then one per pair of readings
+    names = F.concat(F.array(F.array("left")), F.transform("places", lambda p: F.transform(p["options"], lambda o: o["meant"])), F.array(F.array("right")))
+    steps = whole.select("chunk_id", "run", names.alias("names")).select("chunk_id", "run", F.explode(F.arrays_zip(F.slice("names", 1, F.size("names") - 1).alias("a"), F.slice("names", 2, F.size("names") - 1).alias("b"))).alias("s"))
+    needed = steps.select("chunk_id", "run", F.explode("s.a").alias("a"), "s.b").select("chunk_id", "run", "a", F.explode("b").alias("b"))
     pairs = counts.where("kind = 'b'").select("a", "b", F.col("n").alias("n_pair"))
-    priced = (
-        needed.join(pairs, ["a", "b"], "left")
-        .join(singles.select(F.col("w").alias("a"), F.col("n").alias("n_a")), "a", "left")
-        .join(singles.select(F.col("w").alias("b"), F.col("n").alias("n_b")), "b", "left")
-        .groupBy("chunk_id", "run")
-        .agg(F.collect_list(F.struct("a", "b", F.coalesce("n_pair", F.lit(0)).alias("p"), F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))).alias("prices"))
-    )
+    singles = counts.where("kind = 'u'").select("a", F.col("n").alias("n_pair"))
+    ends = whole.select("chunk_id", "run", F.explode(F.array("left", "right")).alias("a")).join(singles, "a").withColumn("b", F.lit(None).cast("string"))
+    # pairs that the corpus never writes need no row: their count is 0
+    told = needed.join(pairs, ["a", "b"]).unionByName(ends).groupBy("chunk_id", "run").agg(F.collect_list(F.struct("a", "b", "n_pair")).alias("prices"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                price = {(x["a"], x["b"]): (x["p"], x["n_a"], x["n_b"]) for x in r.prices}
                 places = list(r.places)
+                price = {} if r.prices is None else {(x["a"], x["b"]): x["n_pair"] for x in r.prices}
+                number = {w: price.get((w, None), 0) for w in (r.left, r.right)} | {o["meant"]: o["count"] for p in places for o in p["options"]}
                 lessen = {p["word"]: 0.002 / max(p["n"], 1) for p in places}
 
                 def step(a: str, b: str) -> float:
-                    p, n_a, n_b = price.get((a, b), (0, 0, 0))
+                    p, n_a, n_b = price.get((a, b), 0), number[a], number[b]
                     fa, fb = lessen.get(a, 1.0), lessen.get(b, 1.0)
                     prior = (n_b * fb + 0.01) / total
                     return log((p * fa * fb + BACKOFF * prior) / (n_a * fa + BACKOFF))
@@ -512,10 +539,10 @@ def decode_runs(runs: DataFrame, model: DataFrame, counts: DataFrame, total: int
                             nxt[o["meant"]] = (cost, (*way, o["meant"]))
                     best = nxt
                 way = max((c + step(a, r.right), w) for a, (c, w) in best.items())[1]
-                out += [(r.chunk_id, p["line"], r.run + p["at"], p["word"], m) for p, m in zip(places, way) if m != p["word"]]
+                out += [(r.chunk_id, p["line"], p["at"], p["word"], m) for p, m in zip(places, way) if m != p["word"]]
             yield pd.DataFrame(out, columns=["chunk_id", "line", "at", "word", "meant"])
 
-    return whole.join(priced, ["chunk_id", "run"]).select("chunk_id", "run", "left", "right", "places", "prices").mapInPandas(run, "chunk_id string, line int, at int, word string, meant string")
+    return whole.join(told, ["chunk_id", "run"], "left").select("chunk_id", "run", "left", "right", "places", "prices").mapInPandas(run, "chunk_id string, line int, at int, word string, meant string")
 
 
 # --- the operator
@@ -549,21 +576,19 @@ def find_noise(chunks: DataFrame) -> DataFrame:
     )
     model = materialize(correction_model(lexicon), "scan-model")
     total = counts.where("kind = 'u'").agg(F.sum("n")).first()[0] or 1
-    runs = suspicious_runs(source, bloom_of(model))
-    misread = decode_runs(materialize(runs.dropDuplicates(["chunk_id", "run"]), "scan-runs"), model, counts, total)
+    suspects = model.select("word").distinct()
+    n_suspects = model.agg(F.approx_count_distinct("word")).first()[0]
+    misread = decode_runs(suspicious_places(source, build_filter(suspects, "word", n_suspects)), model, counts, total)
     pages = marks.where("kind = 'page'").select("chunk_id", "line").distinct()
     noise_lines = headers.unionByName(pages).distinct()
     misread = misread.join(noise_lines, ["chunk_id", "line"], "left_anti")
     # a division is one of a word if the joined form, or what it was misread from, is written more than the compound
-    meant = model.groupBy("word").agg(F.max("explained").alias("explained"))
-    judged = (
-        divided.join(singles.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left")
-        .join(singles.select(F.col("word").alias("compound"), F.col("n").alias("n_compound")), "compound", "left")
-        .join(meant.withColumnRenamed("word", "joined"), "joined", "left")
-        .join(singles.select(F.col("word").alias("left_part"), F.col("n").alias("n_left")), "left_part", "left")
-        .join(singles.select(F.col("word").alias("right_part"), F.col("n").alias("n_right")), "right_part", "left")
-        .fillna(0)
-    )
+    roles = ("joined", "compound", "left_part", "right_part")
+    forms = divided.select("left_part", "right_part", "joined", "compound").distinct()
+    asked = forms.select("left_part", "right_part", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.col(r).alias("word")) for r in roles))).alias("q")).select("left_part", "right_part", "q.role", "q.word")
+    told = singles.select("word", "n", F.lit(0.0).alias("explained")).unionByName(model.select("word", F.lit(0).cast("long").alias("n"), "explained")).groupBy("word").agg(F.sum("n").alias("n"), F.max("explained").alias("explained"))
+    of = asked.join(told, "word").groupBy("left_part", "right_part").agg(*(F.sum(F.when(F.col("role") == r, F.col("n"))).alias(f"n_{r.removesuffix('_part')}") for r in roles), F.max(F.when(F.col("role") == "joined", F.col("explained"))).alias("explained"))
+    judged = divided.join(of, ["left_part", "right_part"], "left").fillna(0)
     written = F.col("n_joined") + F.when(F.col("explained") > 0, 1).otherwise(0)
     unknown = (written == 0) & (F.col("n_compound") == 0)
     both_words = (F.col("n_left") >= 20) & (F.col("n_right") >= 20)

@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from paperloom.llm.token_budget import normal_lang
 from paperloom.session import materialize
 
-#: Slots of the prose reference over all languages together: 8 MB as float32, whatever the size of the corpus.
-SLOTS = 1 << 21
+#: Share of a language's prose below which a word counts as unknown; unknown words have this share. So the reference has at
+#: most 1 / UNKNOWN words a language, and neither they nor the divergences change with the size of the corpus.
+UNKNOWN = 1e-5
 #: Pages with fewer words have no curve and are never flagged.
 LEAST_WORDS = 8
 #: Pages of a language and length from which their own norms are used; below, those of all languages at that length.
@@ -160,21 +161,21 @@ def with_norms(df: DataFrame, columns: dict[str, float], among=None) -> DataFram
 
     def table(keys: list[str], tag: str) -> DataFrame:
         medians = base.groupBy(*keys).agg(F.count("*").alias(f"{tag}_n"), *(F.percentile_approx(c, 0.5, 2000).alias(f"{tag}_m_{c}") for c in columns))
-        spread = base.join(medians, keys).groupBy(*keys).agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"{tag}_m_{c}")), 0.5, 2000).alias(f"{tag}_d_{c}") for c in columns))
-        return medians.join(spread, keys)
+        spread = base.join(F.broadcast(medians), keys).groupBy(*keys).agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"{tag}_m_{c}")), 0.5, 2000).alias(f"{tag}_d_{c}") for c in columns))
+        return medians.join(F.broadcast(spread), keys)
 
-    out = df.join(table(["lang", "size"], "own"), ["lang", "size"], "left").join(table(["size"], "all"), ["size"], "left")
+    # two-letter codes and powers of two: at most some thousand rows, whatever the corpus
+    out = df.join(F.broadcast(table(["lang", "size"], "own")), ["lang", "size"], "left").join(F.broadcast(table(["size"], "all")), ["size"], "left")
     enough = F.coalesce("own_n", F.lit(0)) >= LEAST_PAGES
     for c, floor in columns.items():
         out = out.withColumn(f"norm_{c}", F.when(enough, F.col(f"own_m_{c}")).otherwise(F.col(f"all_m_{c}"))).withColumn(f"mad_{c}", F.greatest(1.4826 * F.when(enough, F.col(f"own_d_{c}")).otherwise(F.col(f"all_d_{c}")), F.lit(floor)))
     return out.drop(*(f"{t}_{k}_{c}" for t in ("own", "all") for k in ("m", "d") for c in columns), "own_n", "all_n")
 
 
-def _slots_of(labels: list[str], sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Slots of hashed words under the language of their page; ``sizes`` is the number of words of each page."""
-    seeds = np.fromiter((zlib.crc32(x.encode()) for x in labels), np.uint64, len(labels))
-    mix = (words.astype(np.uint64) + np.repeat(seeds, sizes)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mix >> np.uint64(43)).astype(np.int64)  # the upper 21 bits
+def _keys_of(labels: list[str], sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashed words under the language of their page; ``sizes`` is the number of words of each page."""
+    seeds = np.fromiter((zlib.crc32(x.encode()) for x in labels), np.uint64, len(labels)) << np.uint64(32)
+    return (words.astype(np.uint64) | np.repeat(seeds, sizes)).view(np.int64)
 
 
 def _columns(batch: pa.RecordBatch, n: int, words: int, counts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,50 +186,52 @@ def _columns(batch: pa.RecordBatch, n: int, words: int, counts: int) -> tuple[np
     return sizes, batch.column(words).values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], batch.column(counts).values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] / total
 
 
-def prose_reference(prose: DataFrame) -> tuple[np.ndarray, dict[str, float]]:
-    """Summed word shares of the prose pages per language and of all, in a table of ``SLOTS`` numbers; pages per language."""
+def prose_reference(prose: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], dict[str, float]]:
+    """Keys (ascending) and summed shares of the known words of the prose pages, per language and of all, and pages per
+    language. Sums are combined per batch, then in the JVM; the driver gets the known words only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS)
         for batch in batches:
             sizes, words, shares = _columns(batch, 1, 2, 3)
             langs = batch.column(0).to_pylist()
             for labels in (langs, [ANY] * len(langs)):
-                slots, where = np.unique(_slots_of(labels, sizes, words), return_inverse=True)
-                total[slots] += np.bincount(where, weights=shares, minlength=len(slots))
-        used = np.flatnonzero(total)
-        for k in range(0, len(used), 50_000):
-            part = used[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part])], names=["slot", "share"])
-
-    sums = prose.select("lang", "n", "words", "counts").mapInArrow(run, "slot int, share double").groupBy("slot").agg(F.sum("share").cast("float").alias("share"))
-    got = sums.toArrow()  # at most SLOTS rows
-    reference = np.zeros(SLOTS, dtype=np.float32)
-    reference[got["slot"].to_numpy()] = got["share"].to_numpy()
+                keys, first, where = np.unique(_keys_of(labels, sizes, words), return_index=True, return_inverse=True)
+                of = np.repeat(np.arange(len(labels)), sizes)[first]
+                yield pa.RecordBatch.from_arrays([pa.array([labels[i] for i in of], pa.string()), pa.array(keys), pa.array(np.bincount(where, weights=shares, minlength=len(keys)))], names=["lang", "key", "share"])
+
+    sums = prose.select("lang", "n", "words", "counts").mapInArrow(run, "lang string, key bigint, share double").groupBy("lang", "key").agg(F.sum("share").alias("share"))
     pages = {r["lang"]: float(r["n"]) for r in prose.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    return reference, pages | {ANY: sum(pages.values())}
+    pages[ANY] = sum(pages.values())
+    enough = F.create_map(*(F.lit(x) for lang, n in pages.items() for x in (lang, n * UNKNOWN)))
+    got = sums.where(F.col("share") >= F.element_at(enough, F.col("lang"))).select("key", F.col("share").cast("float").alias("share")).toArrow()
+    keys, shares = got["key"].to_numpy(), got["share"].to_numpy()
+    order = np.argsort(keys)
+    return (keys[order], shares[order]), pages
 
 
-def divergences(prints: DataFrame, reference: np.ndarray, pages: dict[str, float]) -> DataFrame:
+def divergences(prints: DataFrame, reference: tuple[np.ndarray, np.ndarray], pages: dict[str, float]) -> DataFrame:
     """doc_id, lang, size, divergence: of the page's word shares from its language's prose (Kullback-Leibler, nats);
     ``from_others``: the same for a page that is in ``reference`` itself, without its own share in it.
 
     The label may be wrong or missing, so a page far from its own language's prose is held against the other languages
     too, and the least divergence counts. A language without another page says nothing.
     """
-    shared = prints.sparkSession.sparkContext.broadcast((reference, pages))
+    shared = prints.sparkSession.sparkContext.broadcast((*reference, pages))
     known = sorted((x for x in pages if pages[x] >= LEAST_PAGES and x not in (ANY, "?")), key=lambda x: -pages[x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n_pages = shared.value
+        known_keys, known_shares, n_pages = shared.value
+        known_keys, known_shares = np.append(known_keys, np.iinfo(np.int64).max), np.append(known_shares, np.float32(0))
 
         def kl(labels: list[str], sizes: np.ndarray, words: np.ndarray, p: np.ndarray, own: np.ndarray) -> np.ndarray:
             """``own``: 1 for pages whose share is to be taken out of the reference, else 0."""
             if not len(sizes):
                 return np.zeros(0)
             pages_of = np.fromiter((n_pages[x] for x in labels), np.float64, len(labels)) - own
-            share = np.maximum(table[_slots_of(labels, sizes, words)] - p * np.repeat(own, sizes), 0)
-            q = (share + 1e-3) / (np.repeat(np.maximum(pages_of, 0), sizes) + 1)
+            keys = _keys_of(labels, sizes, words)
+            at = np.searchsorted(known_keys, keys)
+            share = np.maximum(np.where(known_keys[at] == keys, known_shares[at], 0) - p * np.repeat(own, sizes), 0)
+            q = share / np.repeat(np.maximum(pages_of, 1), sizes) + UNKNOWN
             out = np.add.reduceat(p * np.log(p / q), np.cumsum(sizes) - sizes)
             out[(pages_of < 1) & (np.array(labels) != ANY)] = np.inf
             return out

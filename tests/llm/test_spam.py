@@ -104,3 +104,24 @@ def test_repeated_words_of_the_corpus(spark):
     judged = {r.doc_id: r for r in s.judge_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert judged[1000].divergence < s.FAR_WITH_CURVE and judged[1000].curve > s.EXTREME
     assert sorted(k for k, r in judged.items() if r.spam) == [1000, 1001]
+
+
+def test_divergences_do_not_move_with_the_size(spark):
+    """The same pages against ten times as many pages of prose with ten times as many rare words."""
+    rng = random.Random(9)
+    common = [f"word{''.join(rng.choice('abcdefgh') for _ in range(5))}" for _ in range(300)]
+
+    def text(n, start):
+        rare = lambda: "".join(rng.choice("ijklmnopqrstuvwxyz") for _ in range(9))
+        return [(start + i, "en", " ".join(rng.choice(common) if rng.random() < 0.9 else rare() for _ in range(80))) for i in range(n)]
+
+    seen = {}
+    for n in (60, 600):
+        pages = [(1, "en", "cheap watches online " * 27), (2, "en", " ".join(common[:80]))]
+        prints = s.fingerprints(spark.createDataFrame(text(n, 100) + pages, "doc_id long, lang string, text string"))
+        reference, count = s.prose_reference(prints.where("doc_id >= 100").select("lang", "n", "words", "counts"))
+        assert len(reference[0]) <= 2 / s.UNKNOWN and (reference[0][1:] > reference[0][:-1]).all()
+        got = s.divergences(prints.where("doc_id < 100"), reference, count)
+        seen[n] = {r.doc_id: r.divergence for r in got.collect()}
+    for doc in (1, 2):
+        assert abs(seen[60][doc] - seen[600][doc]) < 0.3

@@ -7,7 +7,7 @@ draws its number of block copies without replacement from what the node holds, w
 multivariate hypergeometric. Every draw depends only on the seed and the node, so a task can walk from the root to the
 shard of a block copy by itself, and no shard list passes through the driver. The copies of a source are numbered in a
 permuted order (a fresh one per pass); a shard owns a range of these numbers, so the ranges are disjoint and together
-complete. Inside a shard the documents get a random order of their own.
+complete. Orders are kept in two levels, groups of blocks and blocks of a group, so their number may grow freely. Inside a shard the documents get a random order of their own.
 
 What travels: the token counts (ids and numbers, no texts), one row per block, and one row per drawn document. Blocks
 are hash ranges of a source, so a source with a third of all rows is spread over as many blocks as it deserves. The
@@ -26,10 +26,6 @@ from pyspark.sql import functions as F
 from paperloom.llm.encoding import count_tokens
 from paperloom.session import materialize
 
-#: Blocks of a source at most: bounds the ordered list from which a quota's last block is found.
-MAX_BLOCKS = 262_144
-
-
 def _unit(*parts) -> F.Column:
     """A reproducible integer hash of columns (by name) and literal numbers."""
     return F.xxhash64(*[F.col(p) if isinstance(p, str) else F.lit(p) for p in parts])
@@ -39,9 +35,9 @@ def source_blocks(tokens: DataFrame, seed: int, block_tokens: int) -> tuple[Data
     """Documents with their block, and the sources with tokens and number of blocks. Null sources are no source."""
     known = tokens.where(F.col("source").isNotNull())
     sources = known.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("source_docs"))
-    sources = sources.withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.col("source_docs"), F.ceil(F.col("source_tokens") / F.lit(block_tokens)))).cast("int"))
+    sources = sources.withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.col("source_docs"), F.ceil(F.col("source_tokens") / F.lit(block_tokens)))).cast("long"))
     # one row per source: small by nature, and AQE checks the size before it broadcasts
-    docs = known.join(sources.select("source", "n_blocks"), "source").withColumn("block", F.pmod(_unit("doc_id", seed), F.col("n_blocks")).cast("int")).drop("n_blocks")
+    docs = known.join(sources.select("source", "n_blocks"), "source").withColumn("block", F.pmod(_unit("doc_id", seed), F.col("n_blocks"))).drop("n_blocks")
     return docs, sources
 
 
@@ -71,14 +67,20 @@ def drawn_blocks(docs: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
     blocks = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     base = quota.where((F.col("full_passes") > 0) | (F.col("rest_tokens") > 0)).select("plan", "source", "full_passes", "rest_tokens", "n_blocks").join(blocks, "source")
     turns = base.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("full_passes"))))
-    # at most MAX_BLOCKS rows a window
-    w = Window.partitionBy("plan", "source", "pass").orderBy(_unit("plan", "source", "pass", "block", seed + 1), "block")
-    ordered = turns.withColumn("place", F.row_number().over(w) - 1).withColumn("before", F.sum("block_tokens").over(w) - F.col("block_tokens"))
+    # the order of a pass is that of groups and inside them: about the square root of all blocks, so no task orders them all
+    group = F.pmod(_unit("plan", "source", "pass", "block", seed + 4), F.ceil(F.sqrt("n_blocks")).cast("long"))
+    turns = turns.withColumns({"group": group, "order": _unit("plan", "source", "pass", "block", seed + 1)})
+    keys = ["plan", "source", "pass", "group"]
+    before_group = Window.partitionBy("plan", "source", "pass").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = turns.groupBy(*keys).agg(F.sum("block_tokens").alias("group_tokens")).select(*keys, F.coalesce(F.sum("group_tokens").over(before_group), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*keys).orderBy("order", "block")
+    ordered = turns.join(offsets, keys).withColumn("before", F.col("offset") + F.sum("block_tokens").over(inside) - F.col("block_tokens"))
     last = F.col("pass") == F.col("full_passes")
     taken = ordered.where(~last | (F.col("before") < F.col("rest_tokens")))
-    # blocks a hash left empty have no row, so places are counted among the blocks that exist
-    real = Window.partitionBy("plan", "source").orderBy("pass", "place")
-    return taken.select("plan", "source", "block", "pass", (F.row_number().over(real) - 1).cast("long").alias("rank"), F.when(last & (F.col("before") + F.col("block_tokens") > F.col("rest_tokens")), F.col("rest_tokens") - F.col("before")).alias("cut"))
+    # places count the taken block copies of a source over all its passes and groups
+    before_all = Window.partitionBy("plan", "source").orderBy("pass", "group").rowsBetween(Window.unboundedPreceding, -1)
+    places = taken.groupBy(*keys).agg(F.count("*").alias("n_taken")).select(*keys, F.coalesce(F.sum("n_taken").over(before_all), F.lit(0)).alias("first"))
+    return taken.join(places, keys).select("plan", "source", "block", "pass", (F.col("first") + F.row_number().over(inside) - 1).alias("rank"), F.when(last & (F.col("before") + F.col("block_tokens") > F.col("rest_tokens")), F.col("rest_tokens") - F.col("before")).alias("cut"))
 
 
 class SplittingTree:
@@ -141,7 +143,7 @@ def assign_shards(drawn: DataFrame, seed: int, shard_blocks: int) -> DataFrame:
                 shards.append(tree.shard(index[name], int(rank)))
             yield frame[["plan", "source", "block", "pass", "cut"]].assign(shard=shards)
 
-    return source.mapInPandas(run, "plan string, source string, block int, pass int, cut double, shard int")
+    return source.mapInPandas(run, "plan string, source string, block bigint, pass int, cut double, shard int")
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 7, block_tokens: int = 50_000, shard_blocks: int = 16, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:

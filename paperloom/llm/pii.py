@@ -1,14 +1,14 @@
 """Problem 1: personal information inside free text: find it and put typed placeholders in its place.
 
 Method: bootstrapped contextual extraction. One pass over the texts lists candidate spans: runs of digits (also spelled
-out), number-and-street spans, capitalised word groups, and addresses of electronic mail, whose form is proof enough. A
-candidate has a shape (the instance node of the graph) and lexical contexts (the pattern nodes: pairs of words before and
+out), number-and-street spans, capitalised word groups, and addresses of electronic mail, written plainly (seeds: no
+other thing has that form) or with words for their signs. A candidate has a shape (the instance node of the graph) and lexical contexts (the pattern nodes: pairs of words before and
 behind it). A few entities of unmistakable form are the seeds. Spark scores the bipartite graph of patterns and
 instances iteratively: a pattern is as good as the instances it surrounds, an instance as good as the patterns it occurs
 in. Patterns of high confidence then admit shapes no seed has.
 
 Names need one step more, as they come in any case and order. The graph of the capitalised candidates yields a lexicon of
-given and family names; a second pass finds lexicon words in any spelling, through a Bloom filter of fixed size, and an
+given and family names; a second pass finds lexicon words in any spelling, through a Bloom filter sized by their number, and an
 exact join removes its false positives.
 
 What is shuffled are (pattern, instance) counts, combined per task first, and candidate spans without their texts.
@@ -17,12 +17,11 @@ What is shuffled are (pattern, instance) counts, combined per task first, and ca
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -30,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from paperloom.llm.filters import Filter
+from paperloom.llm.filters import build as build_filter
 from paperloom.session import materialize
 
 #: Rounds of the propagation over the graph.
@@ -38,15 +39,15 @@ ROUNDS = 4
 DOUBT = 1.5
 #: Belief from which an instance is trusted, as a share of the best belief among those that are no seeds (names: not seeds alone):
 #: beliefs grow with the number of occurrences, their order does not. It must have been seen so often.
-TRUSTED = {"phone": 0.72, "id_number": 0.62, "address": 0.62, "name": 0.45}
+TRUSTED = {"phone": 0.72, "id_number": 0.62, "address": 0.62, "name": 0.45, "email": 0.45}
 LEAST_SEEN = 3
 #: Score of the best pattern around an occurrence that a trusted instance still needs, as a share of the same belief, and
 #: the score that admits an unknown one.
 NEEDED_PATTERN, STRONG_PATTERN = 0.3, 0.8
+#: Seeds that a mail address with words for its signs counts as: its form says much, but its words may say something else.
+HALF_SEED = 0.5
 #: Score from which a given name is trusted.
 TRUSTED_GIVEN = 0.33
-#: Bits of the Bloom filter of family names: 1 MB for any corpus.
-BLOOM_BITS = 1 << 23
 KINDS = ("name", "email", "phone", "id_number", "address")
 
 # Escapes of JSON strings.
@@ -77,6 +78,9 @@ _EMAIL = regex.compile(
 )
 _DIGITS = re.compile(r"(?<![\w/$§#.,:-])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d[\d .–‐-]{4,12}\d(?!\w)|(?<![\w/$§#.,:-])\d{3} / \d{3}[ .-]?\d{4}(?!\w)|(?<![\w/$§#.,:-])(?:[A-Z]{1,2}-?)?\+?\d[\d]*(?:[ .–‐-]\d+)*(?:-[A-Z])?(?![\w/%]|[.,]\d)")
 _SPELLED = re.compile(rf"\b(?:{'|'.join(DIGIT_WORDS)})(?:[\s,-]+(?:{'|'.join(DIGIT_WORDS)})){{6,}}\b", re.IGNORECASE)
+# what a text must hold for the costlier patterns to be tried
+_MAY_MAIL = re.compile(r"@|[(\[{]\s*at\s*[)\]}]|\bdot\b", re.IGNORECASE)
+_RUN = re.compile(r"\d[\d .()/–‐+-]{5,}")
 _W = r"[\p{Lu}][\p{L}'’.-]*"
 _ADDRESS = regex.compile(
     rf"(?<![\w$§#/.,-])(?<!(?i:ext)\. )(?<!(?i:ext) )(?:(?:number|no\.?|nº)\s+)?(?P<no>\d{{1,5}}(?:[ -]?[A-Z])?),?[ \t]+(?P<words>(?:{_W}[ \t]+){{0,3}}{_W})(?=[\s,.;:#)\x1e]|$)"
@@ -227,23 +231,34 @@ def candidates_of(text: str) -> list[tuple[str, str, bool, int, int, list[str]]]
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
-    if "@" in text or "at" in text:
+    if _MAY_MAIL.search(text):
         for m in _EMAIL.finditer(text):
             if CUT not in m.group(0) and not m.group("domain").split(".")[-1].isdigit():
-                found.append(("email", "email", True, m.start(), m.end(), []))
+                plainly = "@" in m.group(0) and "." in m.group("domain")
+                found.append(("email", "a@b.c" if plainly else "a at b.c" if "." in m.group("domain") else "a at b dot c", plainly, m.start(), m.end(), contexts(text, *m.span())))
                 taken.append(m.span())
-    for m in _DIGITS.finditer(text):
-        n = sum(map(str.isdigit, m.group(0)))
-        if 7 <= n <= 13 and free(*m.span()):
-            s = shape(m.group(0))
-            if s not in ("d4-d2-d2", "d2-d2-d4", "d2.d2.d4", "d1-d2-d4", "d2-d1-d4"):
-                found.append(("number", s, False, m.start(), m.end(), contexts(text, *m.span())))
+    last = 0
+    for run in _RUN.finditer(text):
+        if sum(map(str.isdigit, run.group(0))) < 7:
+            continue
+        # a number begins with two letters, a sign and a bracket at most and ends with a letter: all inside this stretch
+        for m in _DIGITS.finditer(text, max(last, run.start() - 5), run.end() + 6):
+            if m.start() >= run.end():  # cut off: the next stretch has it whole
+                break
+            last = m.end()
+            n = sum(map(str.isdigit, m.group(0)))
+            if 7 <= n <= 13 and free(*m.span()):
+                s = shape(m.group(0))
+                if s not in ("d4-d2-d2", "d2-d2-d4", "d2.d2.d4", "d1-d2-d4", "d2-d1-d4"):
+                    found.append(("number", s, False, m.start(), m.end(), contexts(text, *m.span())))
+                    taken.append(m.span())
+    low = text.lower()
+    if sum(map(low.count, DIGIT_WORDS)) >= 7:
+        for m in _SPELLED.finditer(text):
+            n = len(re.findall(r"[a-z]+", m.group(0).lower()))
+            if free(*m.span()) and n <= 14:
+                found.append(("number", f"w{n}", False, m.start(), m.end(), contexts(text, *m.span())))
                 taken.append(m.span())
-    for m in _SPELLED.finditer(text):
-        n = len(re.findall(r"[a-z]+", m.group(0).lower()))
-        if free(*m.span()) and n <= 14:
-            found.append(("number", f"w{n}", False, m.start(), m.end(), contexts(text, *m.span())))
-            taken.append(m.span())
     for m in _ADDRESS.finditer(text):
         if not free(*m.span()):
             continue
@@ -273,9 +288,9 @@ def candidates_of(text: str) -> list[tuple[str, str, bool, int, int, list[str]]]
                 continue
             found.append(("street", f"{word} n", False, m.start(), m.end(), contexts(text, m.start(), m.end())))
     for m in _NAME.finditer(text):
-        if not free(*m.span()):
-            continue
-        title, suffix, words = m.group("title"), m.group("suffix"), m.group("words")
+        title, suffix, words = m.group("title", "suffix", "words")
+        if not title and len(words.split(None, 1)) < 2 or not free(*m.span()):
+            continue  # a single word is a name behind a title only
         if words.split()[-1].lower() in SUFFIXES:
             words, suffix = words.rsplit(None, 1)[0] if len(words.split()) > 1 else words, words.split()[-1]
         parts = None if words.split()[0] in PARTICLES else name_parts(words)
@@ -348,13 +363,18 @@ def extract(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, field string, kind string, instance string, seed boolean, start int, end int, patterns array<string>, n bigint")
 
 
+def graph_of_kind() -> F.Column:
+    """Graph of the candidates that are in one only."""
+    return F.when(F.col("kind") == "street", "address").otherwise(F.col("kind"))
+
+
 def observations(candidates: DataFrame) -> DataFrame:
     """(obs, graph, instance, patterns, n, seeds, others): alike occurrences with their number, for each graph they are in.
 
     The graphs of phones and identity numbers share their candidates. An occurrence that is no seed speaks against its
     patterns as long as it is not believed.
     """
-    alike = candidates.where("kind in ('number', 'street', 'name')").groupBy("kind", "instance", "seed", F.array_sort("patterns").alias("patterns")).agg(F.count("*").alias("n"))
+    alike = candidates.where("kind <> 'lower'").groupBy("kind", "instance", "seed", F.array_sort("patterns").alias("patterns")).agg(F.count("*").alias("n"))
     i = F.col("instance")
     graphs = F.when(
         F.col("kind") == "number",
@@ -362,9 +382,9 @@ def observations(candidates: DataFrame) -> DataFrame:
             F.struct(F.lit("phone").alias("graph"), i.isin(*PHONE_SEEDS).alias("is_seed"), (~i.isin(*PHONE_SEEDS)).alias("is_other")),
             F.struct(F.lit("id_number").alias("graph"), i.isin(*ID_SEEDS).alias("is_seed"), (~i.isin(*ID_SEEDS)).alias("is_other")),
         ),
-    ).otherwise(F.array(F.struct(F.when(F.col("kind") == "street", "address").otherwise("name").alias("graph"), F.col("seed").alias("is_seed"), (~F.col("seed")).alias("is_other"))))
+    ).otherwise(F.array(F.struct(graph_of_kind().alias("graph"), F.col("seed").alias("is_seed"), (~F.col("seed")).alias("is_other"))))
     rows = alike.select("instance", "patterns", "n", F.explode(graphs).alias("g"))
-    return rows.select(F.xxhash64("g.graph", "instance", "patterns", "g.is_seed").alias("obs"), "g.graph", "instance", "patterns", "n", F.when(F.col("g.is_seed"), F.col("n")).otherwise(0).alias("seeds"), F.when(F.col("g.is_other"), F.col("n")).otherwise(0).alias("others"))
+    return rows.select(F.xxhash64("g.graph", "instance", "patterns", "g.is_seed").alias("obs"), "g.graph", "instance", "patterns", "n", F.when(F.col("g.is_seed"), F.col("n")).when(F.col("g.graph") == "email", F.col("n") * HALF_SEED).otherwise(0).alias("seeds"), F.when(F.col("g.is_other"), F.col("n")).otherwise(0).alias("others"))
 
 
 def propagate(obs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -402,39 +422,17 @@ _AFTER = regex.compile(r"[ \t]*,\s+(?:(?P<initials>\p{Lu}\.)|(?P<given>\p{L}[\p{
 _OTHER = regex.compile(rf"[ \t]*(?:&|(?:{'|'.join(FIRMS + STREET_SEEDS)})\b)", regex.IGNORECASE)
 
 
-def _bits(word: str) -> tuple[int, int]:
-    raw = word.encode("utf-8", "surrogatepass")
-    return zlib.crc32(raw) % BLOOM_BITS, zlib.adler32(raw + b"\x01" + raw[::-1]) % BLOOM_BITS
-
-
-def family_filter(families: DataFrame) -> np.ndarray:
-    """Bits of the family names, two per name, in a table of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: set[int] = set()
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                bits.update(_bits(w))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(bits), pa.int32())], names=["bit"])
-
-    table = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
-    got = families.select("family").mapInArrow(run, "bit int").distinct().toArrow()["bit"].to_numpy()
-    np.bitwise_or.at(table, got >> 3, (1 << (got & 7)).astype(np.uint8))
-    return table
-
-
 class _Families(dict):
     """Whether a token may be a family name, asked of the filter once per distinct token."""
 
-    def __init__(self, table: np.ndarray):
+    def __init__(self, table: bytes):
         super().__init__()
-        self.table = table
+        self.may_hold = Filter(table).may_hold_text
 
     def __missing__(self, token: str) -> bool:
         if len(self) > 500_000:
             self.clear()
-        w = token.lower().replace("’", "'")
-        r = self[token] = bool(all(self.table[b >> 3] >> (b & 7) & 1 for b in _bits(w)))
+        r = self[token] = self.may_hold(token.lower().replace("’", "'"))
         return r
 
 
@@ -452,13 +450,14 @@ def named(text: str, families: _Families) -> list[tuple[int, int, str, str]]:
         if any(a <= s < b for a, b in mails) or text[s - 1 : s] in ("@", "_", ".", "/") or text[e : e + 1] in ("@", "_") or _OTHER.match(text, e, e + 20):
             continue
         family = m.group(0).lower().replace("’", "'")
-        start = max(0, s - 60)
-        cut = max(text.rfind(CUT, start, s), text.rfind("\n\n", start, s))
-        before = _BEFORE.search(text, max(start, cut + 1), s)
+        cut = max(text.rfind(CUT, 0, s), text.rfind("\n\n", 0, s)) + 1
+        words = text[cut:s].rsplit(None, 12)  # more words than the pattern takes
+        start = cut + len(words[0]) if len(words) > 12 else cut
+        before = _BEFORE.search(text, start, s)
         after = _AFTER.match(text, e, e + 40)
         if before and (before.group("given") or before.group("initials")):
             found.append((before.start("given") if before.group("given") else before.start("initials"), e, family, (before.group("given") or "").lower()))
-        initial = _INITIAL.search(text, max(start, cut + 1), s)
+        initial = _INITIAL.search(text, start, s)
         if initial:
             found.append((initial.start(), e, family, ""))
         if before and before.group("title"):
@@ -473,10 +472,10 @@ def named(text: str, families: _Families) -> list[tuple[int, int, str, str]]:
 _filters: list = [None, None]
 
 
-def find_names(texts: DataFrame, table: np.ndarray) -> DataFrame:
+def find_names(texts: DataFrame, names: Filter) -> DataFrame:
     """Second pass: (id, field, start, end, family, given) of possible names; positions are those of the raw text."""
-    shared = texts.sparkSession.sparkContext.broadcast(table)
-    key = zlib.crc32(table.tobytes())
+    shared = texts.sparkSession.sparkContext.broadcast(names.table)
+    key = crc32(names.table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _filters[0] != key:
@@ -506,28 +505,29 @@ def find_personal(inputs: DataFrame, id_col: str = "input_id", fields: tuple[str
     spans = materialize(extract(texts), "pii-candidates")
     patterns, belief = propagate(observations(spans))
     # the best pattern around each candidate, and what is believed of its shape
-    graph_of = F.when(F.col("kind") == "number", F.array(F.lit("phone"), F.lit("id_number"))).otherwise(F.array(F.when(F.col("kind") == "street", "address").otherwise("name")))
-    open_ = spans.where("kind in ('number', 'street', 'name')").select("id", "field", "kind", "instance", "seed", "start", "end", F.explode(graph_of).alias("graph"), F.explode_outer("patterns").alias("pattern"))
-    near = open_.join(patterns.select("graph", "pattern", "score"), ["graph", "pattern"], "left").groupBy("id", "field", "start", "end", "graph", "instance", "seed").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("near"))
+    graph_of = F.when(F.col("kind") == "number", F.array(F.lit("phone"), F.lit("id_number"))).otherwise(F.array(graph_of_kind()))
+    open_ = spans.where("kind <> 'lower'").select("id", "field", "kind", "instance", "seed", "start", "end", F.explode(graph_of).alias("graph"), F.explode_outer("patterns").alias("pattern"))
+    near = open_.join(patterns.select("graph", "pattern", "score"), ["graph", "pattern"], "left").groupBy("id", "field", "start", "end", "graph", "instance", "seed").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("near"), (F.count("pattern") == 0).alias("bare"))
     judged = near.join(belief, ["graph", "instance"])
-    seen = F.col("total") >= LEAST_SEEN
-    best = {r["graph"]: r["best"] for r in belief.where(seen & (F.col("prior") < F.when(F.col("graph") == "name", 0.9).otherwise(0.5))).groupBy("graph").agg(F.max("belief").alias("best")).collect()}  # one number a graph
-    share = lambda g, part: F.lit(best.get(g, 2.0) * part)
-    level = lambda parts: F.when(F.col("graph") == "phone", share("phone", parts["phone"])).when(F.col("graph") == "id_number", share("id_number", parts["id_number"])).when(F.col("graph") == "address", share("address", parts["address"])).otherwise(F.lit(2.0))
+    mail = F.col("graph") == "email"
+    seen = (F.col("total") >= LEAST_SEEN) | mail
+    best = {r["graph"]: r["best"] for r in belief.where(seen & (F.col("prior") < F.when(F.col("graph").isin("name", "email"), 0.9).otherwise(0.5))).groupBy("graph").agg(F.max("belief").alias("best")).collect()}  # one number a graph
+    share = lambda g, part: F.lit(best.get(g, 1.0 if g == "email" else 2.0) * part)
+    level = lambda parts: F.coalesce(*(F.when(F.col("graph") == g, share(g, parts[g])) for g in TRUSTED if g != "name"), F.lit(2.0))
     trust, needed = level(TRUSTED), level(dict.fromkeys(TRUSTED, NEEDED_PATTERN))
     rare = (F.col("total") < LEAST_SEEN) & (F.col("near") >= STRONG_PATTERN) & (F.col("graph") != "name")
-    known = (F.col("belief") >= trust) & seen & (F.col("near") >= needed)
-    good = judged.where(known | rare | (F.col("seed") & F.col("graph").isin("address", "name")) | F.col("instance").isin(*PHONE_SEEDS) & (F.col("graph") == "phone"))
+    # nothing around a mail address speaks against it
+    known = (F.col("belief") >= trust) & seen & ((F.col("near") >= needed) | (mail & F.col("bare")))
+    good = judged.where(known | rare | (F.col("seed") & F.col("graph").isin("address", "name", "email")) | F.col("instance").isin(*PHONE_SEEDS) & (F.col("graph") == "phone"))
     # a number is of one kind: the one believed more
     one = good.groupBy("id", "field", "start", "end").agg(F.max_by("graph", F.struct("belief", "near")).alias("kind"))
-    mail = spans.where("kind = 'email'").select("id", "field", F.col("kind"), "start", "end")
     # a word that is written small more often than it ends a capitalised group is a word of the language
     small = spans.where("kind = 'lower'").groupBy(F.regexp_replace("instance", "’", "'").alias("instance")).agg(F.sum("n").alias("n_lower"))
     families = materialize(belief.join(small, "instance", "left").where(F.coalesce("n_lower", F.lit(0)) <= F.col("total")).where((F.col("graph") == "name") & (F.col("belief") >= share("name", TRUSTED["name"])) & seen).select(F.col("instance").alias("family")), "pii-families")
-    given = patterns.where((F.col("graph") == "name") & F.col("pattern").startswith("G ") & (F.col("score") >= TRUSTED_GIVEN)).select(F.substring("pattern", 3, 200).alias("given"))
+    given = patterns.where((F.col("graph") == "name") & F.col("pattern").startswith("G ") & (F.col("score") >= TRUSTED_GIVEN)).select(F.expr("substring(pattern, 3)").alias("given"))
     allowed = given.unionByName(texts.sparkSession.createDataFrame([("",)], "given string"))
-    names = find_names(texts, family_filter(families)).join(families, "family", "left_semi").join(allowed, "given", "left_semi").select("id", "field", F.lit("name").alias("kind"), "start", "end")
-    return mail.unionByName(one.select("id", "field", "kind", "start", "end")).unionByName(names).distinct()
+    names = find_names(texts, build_filter(families, "family", families.count())).join(families, "family", "left_semi").join(allowed, "given", "left_semi").select("id", "field", F.lit("name").alias("kind"), "start", "end")
+    return one.select("id", "field", "kind", "start", "end").unionByName(names).distinct()
 
 
 def personal_kinds(found: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def drawn_blocks(docs: DataFrame, quota: DataFrame, seed: int) -> DataFrame:
     inside = Window.partitionBy(*keys).orderBy("order", "block")
     ordered = turns.join(offsets, keys).withColumn("before", F.col("offset") + F.sum("block_tokens").over(inside) - F.col("block_tokens"))
     last = F.col("pass") == F.col("full_passes")
-    taken = ordered.where(~last | (F.col("before") < F.col("rest_tokens")))
+    taken = materialize(ordered.where(~last | (F.col("before") < F.col("rest_tokens"))), "mix-taken")  # one row per block copy
     # places count the taken block copies of a source over all its passes and groups
     before_all = Window.partitionBy("plan", "source").orderBy("pass", "group").rowsBetween(Window.unboundedPreceding, -1)
     places = taken.groupBy(*keys).agg(F.count("*").alias("n_taken")).select(*keys, F.coalesce(F.sum("n_taken").over(before_all), F.lit(0)).alias("first"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5
 from itertools import chain
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Characters that count as white space at the ends of a text, beyond Java's Unicode class.
 _WS = r"[\s\x1c-\x1f]"
@@ -85,13 +88,42 @@ def normal_space(c: Column) -> Column:
     return strip_ws(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
-# Entities that are replaced without the full table of the standard.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&sect;": "§", "&mdash;": "—", "&ndash;": "–", "&rsquo;": "’", "&lsquo;": "‘", "&ldquo;": "“", "&rdquo;": "”", "&hellip;": "…", "&amp;": "&"}
+# Entities of the HTML standard by the standard library's table: names with their semicolon, the older ones that need none
+# (two to six letters), and what the numbers 128 to 159 stand for.
+_NAMED = {n: v for n, v in html5.items() if n.endswith(";")}
+_BARE = {n: v for n, v in html5.items() if not n.endswith(";")}
+_UPPER = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
+_ENTITY = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};)"
+
+
+def _table(entries: dict[str, str]) -> Column:
+    return F.map_from_arrays(F.split(F.lit(" ".join(entries)), " "), F.split(F.lit("\x00".join(entries.values())), "\x00"))
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point; the replacement character for what is none, null for null."""
+    good = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    units = F.when(number < 0x10000, F.lpad(F.hex(number), 4, "0")).otherwise(F.concat(F.hex(F.lit(0xD7C0) + F.floor(number / 1024)), F.hex(F.lit(0xDC00) + number % 1024)))
+    upper = F.substr(F.lit(_UPPER), number.cast("int") - 127, F.lit(1))
+    return F.when(number.between(128, 159), upper).when(good, F.decode(F.unhex(units), "UTF-16BE")).when(number.isNotNull(), F.lit("\ufffd"))
 
 
 def unescape(c: Column) -> Column:
-    """The usual named entities as characters, ``&amp;`` last so that nothing is read twice."""
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), c)
+    """Named and numeric entities as characters, each read once; unknown ones stay."""
+    named, old = _table(_NAMED), _table(_BARE)
+
+    def read(piece: Column) -> Column:
+        name = F.regexp_extract(piece, _ENTITY, 1)
+        digits = F.regexp_extract(name, r"^#([0-9]+)", 1)
+        hexed = F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]+)", 1)
+        # more digits than a code point has are no character
+        number = F.when(digits != "", F.coalesce(digits.try_cast("long"), F.lit(1 << 40))).when(hexed != "", F.when(F.length(hexed) > 12, F.lit(1 << 40)).otherwise(F.conv(hexed, 16, 10).try_cast("long")))
+        whole = F.concat(F.coalesce(F.try_element_at(named, name), _character(number)), F.substr(piece, F.length(name) + 1))
+        begun = (F.concat(F.try_element_at(old, F.substring(piece, 1, k)), F.substr(piece, F.lit(k + 1))) for k in range(6, 1, -1))
+        return F.coalesce(whole, *begun, F.concat(F.lit("&"), piece))
+
+    parts = F.split(c, "&")
+    return F.when(F.contains(c, F.lit("&")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 30), read), ""))).otherwise(c)
 
 
 def normal_space_html(c: Column) -> Column:
@@ -199,6 +231,14 @@ def chapter_number(c: Column) -> Column:
     return F.coalesce(F.try_element_at(table, word), word.try_cast("int"))
 
 
+def heading_prefix(chapter: Column, part: Column, subheading: Column) -> Column:
+    """Prefix of the section citations below a subheading, such as 2A1. for Chapter TWO, Part A, ``1. …``; null if a part of
+    it is missing."""
+    code = F.nullif(F.upper(F.regexp_extract(part, r"(?i)part\s+([a-z0-9]+)", 1)), F.lit(""))
+    number = F.nullif(F.regexp_extract(subheading, r"^\s*([0-9]+)\.", 1), F.lit(""))
+    return F.concat(chapter_number(chapter).cast("string"), code, number, F.lit("."))
+
+
 def snippet(text: Column, *needles: Column, before: int = 80, after: int = 260) -> Column:
     """Surroundings of the first needle found, tried in order; else the start of the text."""
     at = F.coalesce(*(F.nullif(F.call_function("locate", n, text), F.lit(0)) for n in needles))
@@ -225,6 +265,25 @@ def flat_content(c: Column) -> Column:
     return F.when(items.isNull(), c).otherwise(F.array_join(F.filter(text, lambda x: x.isNotNull()), "\n"))
 
 
+def drop_empty(c: Column, kind: DataType) -> Column:
+    """A nested value of a type without its blank strings and what is empty through them; null if nothing is left.
+
+    Strings are stripped; structs keep their fields, as nulls; arrays and maps lose their empty elements.
+    """
+    if isinstance(kind, StringType):
+        return blank_to_null(c)
+    if isinstance(kind, StructType):
+        fields = [drop_empty(c[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(reduce(or_, (f.isNotNull() for f in fields)), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        kept = F.filter(F.transform(c, lambda x: drop_empty(x, kind.elementType)), lambda x: x.isNotNull())
+        return F.when(F.size(kept) > 0, kept)
+    if isinstance(kind, MapType):
+        kept = F.map_filter(F.transform_values(c, lambda _, v: drop_empty(v, kind.valueType)), lambda _, v: v.isNotNull())
+        return F.when(F.size(kept) > 0, kept)
+    return c
+
+
 # --- numbers and display
 
 

@@ -92,9 +92,21 @@ def to_chunks(sections_: DataFrame, limit: int = 12000, per_token: float = 4.0)
 
 
 def chunk_summary(chunks: DataFrame, price_per_million: float = 0.0) -> DataFrame:
-    """One row: chunks, chunks by source type, tokens and their price."""
-    per = chunks.groupBy("source_type").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("estimated_tokens").cast("long"), F.lit(0))).alias("tokens"))
-    return per.agg(F.sum("n").alias("n_chunks"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("source_type", F.lit("")).alias("k"), "n")))).alias("by_source"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / 1e6 * price_per_million, 6).alias("cost"))
+    """One row: chunks, chunks by source type and by year (missing ones as ''), tokens and their price."""
+    per = chunks.groupBy("source_type", "source_year").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("estimated_tokens").cast("long"), F.lit(0))).alias("tokens"))
+    sides = F.array(*(F.struct(F.lit(name).alias("side"), F.coalesce(c.cast("string"), F.lit("")).alias("k")) for name, c in (("source", F.col("source_type")), ("year", F.col("source_year")))))
+    counts = per.select("n", "tokens", F.explode(sides).alias("s")).groupBy("s.side", "s.k").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    of = lambda side: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("k", "n")))))
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("side") == "source", F.col(c))), F.lit(0))
+    return counts.agg(total("n").alias("n_chunks"), of("source").alias("by_source"), of("year").alias("by_year"), total("tokens").alias("tokens")).withColumn("cost", F.round(F.col("tokens") / 1e6 * price_per_million, 6))
+
+
+def enabled(chunks: DataFrame, sources: dict[str, bool], years: set[int] | None = None) -> DataFrame:
+    """Rows of the enabled source types and, where given, of the years; a filter that reaches the scan. Types that are not
+    named are off; rows without a year are of no year."""
+    on = [s for s, wanted in sources.items() if wanted]
+    out = chunks.where(F.col("source_type").isin(on)) if on else chunks.where(F.lit(False))
+    return out if years is None else out.where(F.col("source_year").isin(sorted(years)))
 
 
 # --- HTML with classed headings
@@ -116,14 +128,16 @@ def html_headings(pages: DataFrame, key: str, html: str) -> DataFrame:
 # --- positions in an outline
 
 
-def next_boundary(entries: DataFrame, key: str) -> DataFrame:
-    """Adds ``next_ord``: the first later entry of the same or an outer level, null at the end.
+def next_boundary(entries: DataFrame, key: str, levels: int = 10) -> DataFrame:
+    """Adds ``next_ord``: the first later entry of the same or an outer level, null at the end; levels are 0 to ``levels`` - 1.
 
-    With entries in an array per document, the search is a filter of that array.
+    The nearest later entry of each level is a running minimum from the end; the answer is the least of those that are
+    no deeper than the entry itself.
     """
-    outline = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "level"))).alias("_o"))
-    later = F.filter("_o", lambda x: (x["ord"] > F.col("ord")) & (x["level"] <= F.col("level")))
-    return entries.join(outline, key).withColumn("next_ord", F.try_element_at(later, F.lit(1))["ord"]).drop("_o")
+    behind = Window.partitionBy(key).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = entries.withColumns({f"_n{i}": F.min(F.when(F.col("level") == i, F.col("ord"))).over(behind) for i in range(levels)})
+    least = F.least(*(F.when(F.col("level") >= i, F.col(f"_n{i}")) for i in range(levels)))
+    return nearest.withColumn("next_ord", least).drop(*(f"_n{i}" for i in range(levels)))
 
 
 def outline_alias(entries: DataFrame, key: str, levels: int) -> DataFrame:

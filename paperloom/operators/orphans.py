@@ -20,10 +20,9 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.skew import ROWS_PER_SALT, salted_join, salts_for
 from paperloom.session import materialize
 
-#: References of one key and day that may share a task; busier days are salted.
-ROWS_PER_SALT = 50_000
 # Fixed value: stands for the day of a reference without a time; before any load.
 NO_DAY = "0001-01-01"
 
@@ -58,7 +57,7 @@ def held_states(refs: DataFrame, parents: DataFrame) -> DataFrame:
     days = changes.groupBy("key", "day").agg(F.sum("held").alias("held"), F.sum("loads").alias("loads"), F.count("*").alias("n_changes"), F.lit(0).cast("long").alias("n_refs")).unionByName(
         asked.groupBy("key", "day").agg(F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("loads"), F.lit(0).cast("long").alias("n_changes"), F.count("*").alias("n_refs"))
     )
-    days = days.groupBy("key", "day").agg(*(F.sum(c).alias(c) for c in ("held", "loads", "n_changes", "n_refs")))
+    days = materialize(days.groupBy("key", "day").agg(*(F.sum(c).alias(c) for c in ("held", "loads", "n_changes", "n_refs"))), "orphan-days")
     # one row per key and day: as many as there are days
     before = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     states = days.select(
@@ -70,7 +69,7 @@ def held_states(refs: DataFrame, parents: DataFrame) -> DataFrame:
         (F.col("n_changes") > 0).alias("changes_today"),
         F.ceil(F.col("n_refs") / F.lit(ROWS_PER_SALT)).cast("int").alias("salts"),
     )
-    known = asked.join(states.where("salts > 0"), ["key", "day"])
+    known = salted_join(asked, states.where("salts > 0"), ["key", "day"], salts=salts_for(days, ["key", "day"], "n_refs", ROWS_PER_SALT))
     columns = ["table_name", "row_id", "key", "at", "held", "loads", "ever"]
     quiet = known.where(~F.col("changes_today")).withColumns({"held": F.col("held_before"), "loads": F.col("loads_before")}).select(*columns)
     busy = known.where("changes_today").withColumn("salt", F.pmod(F.xxhash64("table_name", "row_id"), F.col("salts")).cast("int"))
@@ -100,16 +99,18 @@ def cascade(direct: DataFrame, provides: DataFrame, uses: DataFrame, rows: DataF
 
     ``provides`` and ``uses`` are the foreign-key graph as (table_name, row_id, link): a record provides the link keys
     under which others find it and uses those of the records it needs. ``rows`` has (table_name, row_id, at) of all
-    records, for the times of inherited orphans. A link that nobody provides is none of this graph's concern.
+    records, for the times of inherited orphans. A link that nobody provides has no record that could be orphaned: those
+    references are what ``unprovided`` finds.
     Rounds go on until one finds nothing new; more than ``max_rounds`` with finds, if given, are an error.
     """
     links = materialize(provides.where(F.col("link").isNotNull()).distinct(), "orphan-provides")
     needs = materialize(uses.where(F.col("link").isNotNull()).distinct(), "orphan-uses")
+    busy = salts_for(needs.groupBy("link").agg(F.count("*").alias("n")), ["link"])
     found = materialize(direct.select("table_name", "row_id", "at", "reason", F.lit(False).alias("inherited"), F.lit(0).alias("round")), "orphan-direct")
     for turn in count(1):
         marked = links.join(found.select("table_name", "row_id", F.lit(1).alias("lost")), ["table_name", "row_id"], "left")
         gone = marked.groupBy("link").agg(F.min(F.coalesce("lost", F.lit(0))).alias("lost")).where("lost = 1").select("link")
-        ids = needs.join(gone, "link", "left_semi").select("table_name", "row_id").distinct().join(found, ["table_name", "row_id"], "left_anti")
+        ids = salted_join(needs, gone, ["link"], "left_semi", busy).select("table_name", "row_id").distinct().join(found, ["table_name", "row_id"], "left_anti")
         new = materialize(rows.select("table_name", "row_id", "at").join(ids, ["table_name", "row_id"], "left_semi").select("table_name", "row_id", "at", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("inherited"), F.lit(turn).alias("round")), "orphan-round")
         if new.isEmpty():
             break
@@ -119,6 +120,15 @@ def cascade(direct: DataFrame, provides: DataFrame, uses: DataFrame, rows: DataF
     return found
 
 
+def unprovided(provides: DataFrame, uses: DataFrame, rows: DataFrame) -> DataFrame:
+    """(table_name, row_id, at, link): references inside the graph to links that no record provides at all; null links are
+    no references. The links that are missing are found among the distinct ones, then traced back to their users."""
+    needs = materialize(uses.where(F.col("link").isNotNull()).distinct(), "orphan-uses")
+    missing = needs.select("link").distinct().join(provides.where(F.col("link").isNotNull()).select("link").distinct(), "link", "left_anti")
+    users = salted_join(needs, missing, ["link"], "left_semi")
+    return users.join(rows.select("table_name", "row_id", "at"), ["table_name", "row_id"]).select("table_name", "row_id", "at", "link")
+
+
 def orphans_by_period(orphans: DataFrame, period: str = "month") -> DataFrame:
     """Counts per table and period, direct ones by reason."""
     return orphans.groupBy("table_name", F.date_trunc(period, "at").alias("period"), "inherited", "reason").agg(F.count("*").alias("n_rows"))

@@ -59,17 +59,26 @@ def final_records(artifacts: DataFrame, leaky: list[str]) -> DataFrame:
     return a.where(good).select("docket_id", "generated_at_utc", "updated_at_utc", "docket_support_status", "queue_label", F.to_json("facts").alias("input_case_facts_json"), bullets(F.col("facts")).alias("input_case_facts_text"), F.size("facts").alias("input_case_fact_count"), F.col("a.final_total_offense_level").alias("ground_truth_offense_level"), "review_version", "source_run_id")
 
 
-def review_queue(artifacts: DataFrame, reviews: DataFrame, version: int) -> DataFrame:
-    """Artifacts of a version with their review: of that version, else the completed one of another version (the highest,
-    then the latest), marked as carried forward."""
-    queue = artifacts.where(version_of() == version)
+# What a queue row takes from its review, and the same with what a released claim leaves in it.
+REVIEW_FIELDS = ("reviewer_name", "claim_status", "claim_token", "claimed_at_utc", "review_decision", "review_notes", "verification_json")
+RELEASED = {c: "available" if c == "claim_status" else "" for c in REVIEW_FIELDS}
+
+
+def review_queue(artifacts: DataFrame, reviews: DataFrame, version: int, supported_only: bool = True) -> DataFrame:
+    """Artifacts of a version that have a level (and are supported, unless all are wanted), with all their columns and the
+    fields of their review: of that version, else the completed one of another version (the highest, then the latest),
+    marked as carried forward. ``review_source_version`` is the version the fields come from."""
+    queue = artifacts.where((version_of() == version) & F.col("final_total_offense_level").isNotNull())
+    if supported_only:
+        queue = queue.where(F.lower(strip_ws(F.coalesce("docket_support_status", F.lit("")))) == "supported")
     own = version_of() == version
-    done = F.lower(F.trim(F.coalesce("claim_status", F.lit("")))) == "completed"
+    done = F.lower(strip_ws(F.coalesce("claim_status", F.lit("")))) == "completed"
     usable = reviews.where(own | done).withColumn("_own", own)
     one = latest(usable, ["docket_id"], [F.col("_own").desc(), version_of().desc(), F.col("updated_at_utc").desc_nulls_last(), F.col("review_decision").asc_nulls_last()])
-    fields = [c for c in reviews.columns if c not in ("docket_id", "review_version")]
-    joined = queue.select("docket_id", "queue_label").join(one.select("docket_id", *(F.col(c) for c in fields), (~F.col("_own")).alias("review_carried_forward")), "docket_id", "left")
-    return joined.withColumn("review_carried_forward", F.coalesce("review_carried_forward", F.lit(False)))
+    said = one.select("docket_id", *(F.col(c).alias(f"_{c}") for c in REVIEW_FIELDS), F.col("review_version").alias("_source"), (~F.col("_own")).alias("_carried"))
+    joined = queue.join(said, "docket_id", "left")
+    kept = [c for c in artifacts.columns if c not in REVIEW_FIELDS]
+    return joined.select(*kept, *(F.col(f"_{c}").alias(c) for c in REVIEW_FIELDS), F.col("_source").alias("review_source_version"), F.coalesce("_carried", F.lit(False)).alias("review_carried_forward"))
 
 
 def claimable(queue: DataFrame, token: str, now: Column, minutes: int = CLAIM_MINUTES) -> DataFrame:
@@ -86,11 +95,21 @@ def claim_next(queue: DataFrame, token: str, reviewer: str, now: Column, seed: i
     return chosen.select("docket_id", F.lit(reviewer).alias("reviewer_name"), F.lit("claimed").alias("claim_status"), F.lit(token).alias("claim_token"), stamp.alias("claimed_at_utc"), stamp.alias("updated_at_utc"))
 
 
-def release(reviews: DataFrame, docket_id: str, token: str, now: Column) -> DataFrame:
-    """Reviews with the claim of a docket given up, if the token holds it or it is stale; others stay as they are."""
-    mine = (F.col("docket_id") == docket_id) & (F.lower(F.coalesce("claim_status", F.lit(""))) == "claimed") & ((F.col("claim_token") == token) | stale(F.col("claimed_at_utc"), now, CLAIM_MINUTES))
-    empty = {c: F.when(mine, "").otherwise(F.col(c)) for c in ("reviewer_name", "claim_token", "claimed_at_utc")}
-    return reviews.withColumns({**empty, "claim_status": F.when(mine, "available").otherwise(F.col("claim_status"))})
+def release(reviews: DataFrame, requests: DataFrame, version: int, now: Column, minutes: int = CLAIM_MINUTES) -> DataFrame:
+    """Reviews with the claims given up that ``requests`` (docket_id, claim_token) name, in one version; others stay.
+
+    A row that another token has claimed not long ago is kept; any other row of the docket and version becomes available,
+    its reviewer, claim, decision, notes and verification are emptied and its time of change is ``now``. Requests and
+    tokens are stripped; blank ones are ignored; several tokens for one docket release it if one of them may.
+    """
+    asked = requests.select(strip_ws(F.col("docket_id").cast("string")).alias("docket_id"), strip_ws(F.col("claim_token")).alias("_token")).where("docket_id <> '' and _token <> ''")
+    tokens = asked.groupBy("docket_id").agg(F.collect_set("_token").alias("_tokens"))
+    joined = reviews.join(tokens, "docket_id", "left")
+    held = (F.coalesce("claim_status", F.lit("")) == "claimed") & ~F.array_contains("_tokens", F.coalesce("claim_token", F.lit(""))) & ~stale(F.col("claimed_at_utc"), now, minutes)
+    freed = F.col("_tokens").isNotNull() & (version_of() == version) & ~F.coalesce(held, F.lit(False))
+    changes = {c: F.when(freed, v).otherwise(F.col(c)) for c, v in RELEASED.items()}
+    changes["updated_at_utc"] = F.when(freed, F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).otherwise(F.col("updated_at_utc"))
+    return joined.withColumns(changes).select(*reviews.columns)
 
 
 def completed(reviews: DataFrame) -> DataFrame:
@@ -116,10 +135,11 @@ def copy_approvals(reviews: DataFrame, target: DataFrame, source_version: int, t
 
 
 def approved_release(final: DataFrame, reviews: DataFrame) -> DataFrame:
-    """(docket_id, input, output) of dockets with an approved review and a usable final row, the latest row of each."""
+    """(docket_id, input, output) of dockets with an approved review and a usable final row: of each the row of the highest
+    version, then the latest review, change and generation."""
     said = reviews.where(F.lower(F.trim(F.coalesce("review_decision", F.lit("")))) == "approved").select("docket_id").distinct()
     usable = final.where((F.trim(F.coalesce("input_case_facts_text", F.lit(""))) != "") & F.col("ground_truth_offense_level").isNotNull())
-    order = [F.col(c).desc_nulls_last() for c in ("reviewed_at_utc", "updated_at_utc", "generated_at_utc", "review_version", "source_run_id")]
+    order = [F.col(c).desc_nulls_last() for c in ("review_version", "reviewed_at_utc", "updated_at_utc", "generated_at_utc", "source_run_id")]
     one = latest(usable.join(said, "docket_id", "left_semi"), ["docket_id"], order)
     return one.select("docket_id", F.col("input_case_facts_text").alias("input"), F.col("ground_truth_offense_level").alias("output"))
 
@@ -136,9 +156,11 @@ def pending(dockets: DataFrame, artifacts: DataFrame, version: int, refresh: boo
 
 
 def merge_facts(artifact_json: Column, facts: Column) -> Column:
-    """The artifact with its facts replaced."""
-    a = F.from_json(artifact_json, ARTIFACT)
-    return F.to_json(a.withField("case_facts", facts))
+    """The artifact (JSON text) with its ``case_facts`` replaced; every other field stays as it is, unknown ones too. Null
+    facts are an empty list; an artifact that is no JSON object gives null."""
+    fields = F.from_json(artifact_json, "map<string,variant>")
+    new = F.create_map(F.lit("case_facts"), F.parse_json(F.to_json(F.coalesce(facts, F.from_json(F.lit("[]"), f"array<{FACT}>")))))
+    return F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: k != "case_facts"), new))
 
 
 def export_status(sources: DataFrame, outputs: DataFrame, failures: DataFrame) -> DataFrame:
@@ -149,11 +171,31 @@ def export_status(sources: DataFrame, outputs: DataFrame, failures: DataFrame) -
     return sources.join(done, "source_pdf_path", "left").join(bad, "source_pdf_path", "left").withColumn("status", status).drop("_done", "_bad")
 
 
-def case_texts(documents: DataFrame, budget: int) -> DataFrame:
-    """(docket_id, text): the documents of a docket in order, as many whole ones as the character budget holds, the one
-    that crosses it cut."""
-    w = Window.partitionBy("docket_id").orderBy("document_id").rowsBetween(Window.unboundedPreceding, -1)
-    head = F.concat(F.lit("Document: "), F.col("document_id"), F.lit("\n"), F.coalesce("text", F.lit("")))
-    placed = documents.withColumn("_t", head).withColumn("_before", F.coalesce(F.sum(F.length("_t")).over(w), F.lit(0))).where(F.col("_before") < budget)
-    cut = placed.withColumn("_t", F.substr("_t", F.lit(1), (F.lit(budget) - F.col("_before")).cast("int")))
-    return cut.groupBy("docket_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("document_id", "_t"))), lambda x: x["_t"]), "\n\n").alias("text"))
+def case_texts(documents: DataFrame, budget: int | None = None) -> DataFrame:
+    """(docket_id, text): the documents of a docket (document_id, source_file_name, source_pdf_path, text) in the order of
+    their ids, each under a header with its number, file and source, parted by blank lines.
+
+    Blocks and the two characters between them are charged to the character budget; a block that passes what is left is
+    cut there and loses white space at its end; documents beyond the budget are left out.
+    """
+    if budget is not None and budget < 1:
+        raise ValueError("budget must be at least 1")
+    said = lambda *names: F.coalesce(*(F.nullif(F.col(n).cast("string"), F.lit("")) for n in names), F.lit("unknown"))
+    number = F.row_number().over(Window.partitionBy("docket_id").orderBy("document_id"))
+    body = F.concat(F.lit("Document "), F.col("_i").cast("string"), F.lit(": "), said("source_file_name", "document_id"), F.lit("\nSource PDF: "), said("source_pdf_path"), F.lit("\nFull text:\n"), strip_ws(F.coalesce("text", F.lit(""))))
+    rows = documents.withColumn("_i", number)
+    block = strip_ws(body)
+    if budget is not None:  # every document takes three characters at least, and no more than the budget
+        rows, block = rows.where(F.col("_i") <= budget // 3 + 1), F.substring(block, 1, budget + 1)
+    blocks = rows.select("docket_id", F.struct("_i", block.alias("t")).alias("b")).groupBy("docket_id").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+    if budget is None:
+        return blocks.select("docket_id", strip_ws(F.array_join(F.transform("blocks", lambda b: b["t"]), "\n\n")).alias("text"))
+
+    def add(so_far: Column, b: Column) -> Column:
+        left = F.lit(budget) - so_far["used"]
+        piece = F.when(F.length(b["t"]) > left, strip_ws(F.concat(F.lit("x"), F.substr(b["t"], F.lit(1), left)))).otherwise(F.concat(F.lit("x"), b["t"]))  # the x keeps its beginning from being stripped
+        piece = F.substr(piece, F.lit(2))
+        return F.when(left <= 0, so_far).otherwise(F.struct(F.concat(so_far["parts"], F.array(piece)).alias("parts"), (so_far["used"] + F.length(piece) + 2).alias("used")))
+
+    nothing = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("used"))
+    return blocks.select("docket_id", strip_ws(F.array_join(F.aggregate("blocks", nothing, add)["parts"], "\n\n")).alias("text"))

@@ -1,4 +1,5 @@
-"""Trees as edge tables: (doc_id, node_id, parent_id, tag, depth, ords, path, name, title, code, see, see_also, notes).
+"""Trees as edge tables: (doc_id, node_id, parent_id, tag, depth, ords, path, name, title, code, see, see_also, notes,
+note_lines, document_title).
 
 ``ords`` are the positions from the root, so ordering by it is pre-order and a prefix test is a subtree test; ``path`` are
 the ancestors' ids, root first. Opening and listing are filters and joins, for one request or a table of them.
@@ -6,18 +7,21 @@ the ancestors' ids, root first. Opening and listing are filters and joins, for o
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import code_scored
+from paperloom.functions.text import chunk_id, code_scored, normal_space, token_estimate
 
-SCHEMA = "doc_id string, node_id string, parent_id string, tag string, depth int, ords array<int>, path array<string>, name string, title string, code string, see string, see_also string, notes map<string,array<string>>"
+SCHEMA = "doc_id string, node_id string, parent_id string, tag string, depth int, ords array<int>, path array<string>, name string, title string, code string, see string, see_also string, notes map<string,array<string>>, note_lines array<string>, document_title string"
+# Titles of documents that name none.
+TABULAR_TITLE, INDEX_TITLE = "ICD-10-CM TABULAR LIST of DISEASES and INJURIES", "ICD-10-CM INDEX TO DISEASES and INJURIES"
 # The note groups of the tabular list.
-NOTE_TAGS = ("includes", "inclusionTerm", "excludes1", "excludes2", "codeFirst", "useAdditionalCode", "codeAlso", "notes")
+NOTE_TAGS = ("includes", "inclusionTerm", "excludes1", "excludes2", "codeFirst", "useAdditionalCode", "codeAlso", "sevenChrNote", "notes")
 NODE_TAGS = ("chapter", "section", "diag", "letter", "mainTerm", "term")
 #: Limits of an opened heading.
 MOST_CHILDREN, MOST_DESCENDANTS, MOST_SUGGESTIONS = 40, 80, 10
@@ -26,13 +30,14 @@ MOST_CHILDREN, MOST_DESCENDANTS, MOST_SUGGESTIONS = 40, 80, 10
 def _text(e: ET.Element | None) -> str | None:
     if e is None:
         return None
-    t = " ".join("".join(e.itertext()).split())
-    return t or None
+    t = " ".join(part.strip() for part in e.itertext() if part.strip()).replace("\r\n", "\n").replace("\r", "\n")
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t)).strip() or None
 
 
 def xml_nodes(doc_id: str, root: ET.Element) -> Iterator[tuple]:
     """The nodes of one document in pre-order, without recursion."""
     stack = [(root, None, [], [])]
+    document = _text(root.find("./introduction/introSection/title")) or (_text(root.find("title")) if root.tag not in NODE_TAGS else None)
     while stack:
         e, parent, ords, path = stack.pop()
         inside = e.tag in NODE_TAGS
@@ -40,7 +45,7 @@ def xml_nodes(doc_id: str, root: ET.Element) -> Iterator[tuple]:
         if inside:
             node = "/".join([doc_id, *map(str, ords)])
             notes = {t: [n for n in (_text(x) for x in e.findall(f"{t}/note")) if n] for t in NOTE_TAGS if e.find(t) is not None}
-            yield (doc_id, node, parent, e.tag, len(path), ords, path, _text(e.find("name")) or e.get("id"), _text(e.find("desc")) or _text(e.find("title")), _text(e.find("code")) or (_text(e.find("name")) if e.tag == "diag" else None), _text(e.find("see")), _text(e.find("seeAlso")), notes)
+            yield (doc_id, node, parent, e.tag, len(path), ords, path, _text(e.find("name")) or e.get("id"), _text(e.find("desc")) or _text(e.find("title")), _text(e.find("code")) or (_text(e.find("name")) if e.tag == "diag" else None), _text(e.find("see")), _text(e.find("seeAlso")), notes, [f"{g.tag}: {' | '.join(n)}" for g in e if g.tag in NOTE_TAGS[:-1] and (n := [x for x in map(_text, g.findall(".//note")) if x])], document)
         below = path + [node] if inside else path
         kids = [c for c in e if c.tag in NODE_TAGS]
         for i in range(len(kids) - 1, -1, -1):
@@ -57,16 +62,26 @@ def parse_xml(files: DataFrame) -> DataFrame:
                 try:
                     rows = list(xml_nodes(doc, ET.fromstring(bytes(content) if not isinstance(content, str) else content)))
                 except (ET.ParseError, TypeError) as problem:
-                    rows = [(doc, f"{doc}/error", None, "error", 0, [], [], None, str(problem), None, None, None, {})]
+                    rows = [(doc, f"{doc}/error", None, "error", 0, [], [], None, str(problem), None, None, None, {}, [], None)]
                 yield pd.DataFrame(rows, columns=columns)
 
     return files.select("doc_id", "content").mapInPandas(run, SCHEMA)
 
 
+def _first_of_each(rows: DataFrame, group: str, order: str, value: Column, most: int, n: str, listed: str) -> DataFrame:
+    """(group, n, listed): how many rows each group has and the values of the first ``most`` in order. The limit is taken
+    inside each task before the shuffle, so the root's list is no longer than any other's."""
+    w = Window.partitionBy(group).orderBy(order)
+    top = rows.select(group, order, value.alias("_v")).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most)
+    kept = top.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_v"))), lambda x: x["_v"]).alias(listed))
+    return rows.groupBy(group).agg(F.count("*").alias(n)).join(kept, group)
+
+
 def children(nodes: DataFrame) -> DataFrame:
     """(node_id, n_children, children): the direct children in order, ``MOST_CHILDREN`` of them listed."""
-    listed = F.array_sort(F.collect_list(F.struct("ords", "node_id", "name", "title", "code")))
-    return nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_children"), F.slice(listed, 1, MOST_CHILDREN).alias("children"))
+    entry = F.struct("ords", F.col("child_id").alias("node_id"), "name", "title", "code")
+    rows = nodes.where("parent_id is not null").select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("child_id"), "ords", "name", "title", "code")
+    return _first_of_each(rows, "node_id", "ords", entry, MOST_CHILDREN, "n_children", "children")
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
@@ -78,8 +93,8 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 def descendants(nodes: DataFrame, condition: Column | None = None) -> DataFrame:
     """(node_id, n_descendants, descendants): matching nodes below each, in pre-order, ``MOST_DESCENDANTS`` listed."""
     below = nodes.where(condition) if condition is not None else nodes
-    rows = below.select(F.explode("path").alias("node_id"), F.struct("ords", F.col("node_id").alias("id"), "name", "title", "code").alias("d"))
-    return rows.groupBy("node_id").agg(F.count("*").alias("n_descendants"), F.slice(F.array_sort(F.collect_list("d")), 1, MOST_DESCENDANTS).alias("descendants"))
+    rows = below.select(F.explode("path").alias("node_id"), F.col("node_id").alias("id"), "ords", "name", "title", "code")
+    return _first_of_each(rows, "node_id", "ords", F.struct("ords", "id", "name", "title", "code"), MOST_DESCENDANTS, "n_descendants", "descendants")
 
 
 def open_nodes(nodes: DataFrame, requests: DataFrame) -> DataFrame:
@@ -120,18 +135,86 @@ def open_codes(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     diag = nodes.where("tag = 'diag'").withColumn("token", code_scored(F.col("code")))
     asked = requests.select("request_id", "code").withColumn("token", code_scored(F.col("code")))
     entry = asked.join(diag.drop("code"), "token", "left").join(children(nodes), "node_id", "left").join(ancestors(nodes), "node_id", "left")
-    near = asked.join(diag.select(F.col("token").alias("t"), F.col("code").alias("c"), "ords"), F.substring("token", 1, 3) == F.substring("t", 1, 3))
-    hints = near.groupBy("request_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ords", "c"))), lambda x: x["c"]), 1, MOST_SUGGESTIONS).alias("suggestions"))
+    # the first codes of each three characters serve every request with them
+    heads = _first_of_each(diag.where("token <> ''").select(F.substring("token", 1, 3).alias("head"), "ords", F.col("code").alias("c")), "head", "ords", F.col("c"), MOST_SUGGESTIONS, "n", "suggestions")
+    hints = asked.withColumn("head", F.substring("token", 1, 3)).join(heads, "head").select("request_id", "suggestions")
     return entry.join(hints, "request_id", "left").withColumn("found", F.col("node_id").isNotNull()).withColumn("suggestions", F.when(~F.col("found"), F.coalesce("suggestions", F.array().cast("array<string>"))))
 
 
 def render(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node_id, text): each root's subtree in pre-order, one line per node with its code, see and see-also."""
-    line = F.concat_ws(
-        " ",
-        "name",
-        "title",
-        F.nullif(F.concat(F.lit("("), F.concat_ws(", ", F.concat(F.lit("code="), F.col("code")), F.concat(F.lit("see="), F.col("see")), F.concat(F.lit("see_also="), F.col("see_also"))), F.lit(")")), F.lit("()")),
-    )
-    rows = nodes.select(F.explode(F.concat("path", F.array("node_id"))).alias("node_id"), F.struct("ords", line.alias("line")).alias("l")).join(roots.select("node_id"), "node_id", "left_semi")
+    """(node_id, text): each root's subtree in pre-order: one line per node with its code, see and see-also, its note lines
+    below it."""
+    said = F.concat_ws(", ", F.concat(F.lit("code="), F.col("code")), F.concat(F.lit("see="), F.col("see")), F.concat(F.lit("see_also="), F.col("see_also")))
+    line = F.concat_ws(" ", "name", "title", F.nullif(F.concat(F.lit("("), said, F.lit(")")), F.lit("()")))
+    whole = F.array_join(F.concat(F.array(line), F.coalesce("note_lines", F.array().cast("array<string>"))), "\n")
+    rows = nodes.select(F.explode(F.concat("path", F.array("node_id"))).alias("node_id"), F.struct("ords", whole.alias("line")).alias("l")).join(roots.select("node_id"), "node_id", "left_semi")
     return rows.groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
+
+
+# --- chunks of trees
+
+
+def _subtree_chunks(rows: DataFrame, context: Column, parent_context: Column, limit: int, kind: str, per_token: float) -> DataFrame:
+    """One chunk per top entry, or one per child where the whole is longer than ``limit`` and has children.
+
+    ``rows`` has a row per node of an entry: doc_id, document_title, ords, top, child (the ids of the entry and of the
+    child the node is in or under, null for the entry itself), what the entry and the child are called (top_title,
+    child_title, path, child_path, top_code, child_code) and its lines as first of a chunk and inside one.
+    """
+
+    def text(head: Column, lines: Column) -> Column:
+        return normal_space(F.concat(head, F.lit("\n\n"), F.array_join(F.transform(F.array_sort(lines), lambda x: x["t"]), "\n")))
+
+    about = ("doc_id", "document_title", "top_title", "path", "top_code", "first", "second", "third")
+    whole = rows.groupBy("top").agg(*(F.min_by(c, "ords").alias(c) for c in about), F.count("child").alias("n_below"), F.collect_list(F.struct("ords", F.when(F.col("child").isNull(), F.col("outer")).otherwise(F.col("inner")).alias("t"))).alias("lines"))
+    whole = whole.withColumn("text", text(context, F.col("lines"))).drop("lines")
+    fits = (F.length("text") <= limit) | (F.col("n_below") == 0)
+    parts = rows.where("child is not null").join(whole.where(~fits).select("top"), "top", "left_semi")
+    parts = parts.groupBy("top", "child").agg(*(F.min_by(c, "ords").alias(c) for c in (*about, "child_title", "child_path", "child_code")), F.collect_list(F.struct("ords", F.when(F.col("is_child"), F.col("outer")).otherwise(F.col("inner")).alias("t"))).alias("lines"))
+    parts = parts.withColumn("text", text(normal_space(parent_context), F.col("lines")))
+    one = whole.where(fits).select("doc_id", "document_title", F.col("top_title").alias("chunk_title"), F.col("path").alias("semantic_path"), F.col("top_code").alias("code"), "text")
+    many = parts.select("doc_id", "document_title", F.concat_ws(" > ", "top_title", "child_title").alias("chunk_title"), F.col("child_path").alias("semantic_path"), F.coalesce("child_code", "top_code").alias("code"), "text")
+    out = one.unionByName(many)
+    return out.select(chunk_id(F.lit(kind), F.col("doc_id"), F.col("semantic_path")).alias("chunk_id"), F.lit(kind).alias("source_type"), "document_title", "chunk_title", "semantic_path", "code", F.col("doc_id").alias("source_path"), "text", token_estimate(F.col("text"), per_token).alias("estimated_tokens"))
+
+
+def _inside(nodes: DataFrame, depth: int) -> DataFrame:
+    """Nodes of entries at a depth, with the entry (top) and its child they are in or under, and what stands above."""
+    own = F.concat("path", F.array("node_id"))
+    return nodes.withColumns({"top": F.try_element_at(own, F.lit(depth + 1)), "child": F.try_element_at(own, F.lit(depth + 2)), "is_child": F.size(own) == depth + 2, **{f"up{i}": F.try_element_at(own, F.lit(i + 1)) for i in range(depth)}})
+
+
+def _named(rows: DataFrame, nodes: DataFrame, id_: str, out: dict[str, Column]) -> DataFrame:
+    return rows.join(nodes.select(F.col("node_id").alias(id_), *(c.alias(n) for n, c in out.items())), id_, "left")
+
+
+def tabular_chunks(nodes: DataFrame, limit: int = 12000, per_token: float = 4.0) -> DataFrame:
+    """Chunks of a tabular list: an entry of a section with everything below it, its codes and note lines; an entry longer
+    than ``limit`` gives one chunk per child. Entries without a code or description keep the part they have."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    heading = F.trim(F.concat(blank("code"), F.lit(" "), blank("title")))
+    diags = _inside(nodes.where("tag = 'diag'"), 2)
+    rows = _named(_named(diags, nodes, "up0", {"first": F.col("title")}), nodes, "up1", {"second": F.col("title")})
+    rows = _named(rows, nodes, "top", {"top_title": heading, "top_code": F.col("code")})
+    rows = _named(rows, nodes, "child", {"child_title": heading, "child_code": F.col("code")})
+    notes = lambda indent: F.coalesce(F.concat(F.lit("\n" + indent), F.array_join("note_lines", "\n" + indent)), F.lit(""))
+    line = lambda indent: F.concat(heading, F.when(F.size("note_lines") > 0, notes(indent)).otherwise(F.lit("")))
+    path = F.concat_ws(" > ", F.col("first"), F.col("second"), F.col("top_code"))
+    rows = rows.withColumns({"document_title": F.coalesce("document_title", F.lit(TABULAR_TITLE)), "third": F.col("top_title"), "path": path, "child_path": F.concat(path, F.lit(" > "), F.coalesce("child_code", F.lit(""))), "outer": line(""), "inner": line(" ")})
+    head = F.concat(F.lit("Document: "), F.col("document_title"), F.lit("\nChapter: "), blank("first"), F.lit("\nSection: "), blank("second"))
+    return _subtree_chunks(rows, head, F.concat(head, F.lit("\nParent code: "), F.col("top_title")), limit, "tabular", per_token)
+
+
+def index_chunks(nodes: DataFrame, limit: int = 12000, per_token: float = 4.0) -> DataFrame:
+    """Chunks of an alphabetic index: a main term with its terms, codes and references; a term longer than ``limit`` gives
+    one chunk per child."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    said = F.concat_ws(", ", *(F.concat(F.lit(f"{n}="), F.col(n)) for n in ("code", "see", "see_also")))
+    line = F.trim(F.concat(blank("title"), F.when(said != "", F.concat(F.lit(" ("), said, F.lit(")"))).otherwise(F.lit(""))))
+    rows = _named(_inside(nodes.where("tag in ('mainTerm', 'term')"), 1), nodes, "up0", {"first": F.col("title")})
+    rows = _named(rows, nodes, "top", {"top_title": blank("title"), "top_code": F.col("code")})
+    rows = _named(rows, nodes, "child", {"child_title": blank("title"), "child_code": F.col("code")})
+    path = F.concat(blank("first"), F.lit(" > "), F.col("top_title"))
+    rows = rows.withColumns({"document_title": F.coalesce("document_title", F.lit(INDEX_TITLE)), "second": F.col("top_title"), "third": F.lit(None).cast("string"), "path": path, "child_path": F.concat(path, F.lit(" > "), blank("child_title")), "outer": line, "inner": line})
+    head = F.concat(F.lit("Document: "), F.col("document_title"), F.lit("\nLetter: "), blank("first"), F.lit("\nMain term: "), F.col("top_title"))
+    return _subtree_chunks(rows, head, head, limit, "index", per_token)

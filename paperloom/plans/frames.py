@@ -52,7 +52,7 @@ def artifacts(spark: SparkSession, d: str, version: int | None = None) -> DataFr
     rows = inputs(spark, d).where("docket_id is not null").withColumn("review_version", (F.col("input_id") % 3).cast("int"))
     one = latest(rows, ["docket_id", "review_version"], [F.col("input_id")])
     stamp = F.date_format("submitted_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    out = one.select("docket_id", stamp.alias("generated_at_utc"), stamp.alias("updated_at_utc"), F.when(F.col("case_facts").isNull(), "insufficient_evidence").otherwise("ready_for_review").alias("queue_label"), "review_version", "source_run_id", "input_id", "case_facts")
+    out = one.select("docket_id", stamp.alias("generated_at_utc"), stamp.alias("updated_at_utc"), F.when(F.col("case_facts").isNull(), "insufficient_evidence").otherwise("ready_for_review").alias("queue_label"), F.when(F.col("input_id") % 5 == 0, "insufficient").when(F.col("input_id") % 5 == 1, " Supported ").otherwise("supported").alias("docket_support_status"), F.when(F.col("input_id") % 7 != 0, (F.col("input_id") % 40).cast("int")).alias("final_total_offense_level"), "review_version", "source_run_id", "input_id", "case_facts")
     return out if version is None else out.where(F.col("review_version") == version)
 
 
@@ -80,7 +80,7 @@ codes AS (SELECT hadm_id, string_agg(icd_code, ',' ORDER BY seq_num, icd_code) A
 REVIEW_SQL = f"""
 reviews AS (SELECT * REPLACE ({_N} AS docket_id) FROM (SELECT DISTINCT * FROM review_decisions) WHERE {_N} IS NOT NULL),
 latest_inputs AS (SELECT * REPLACE ({_N} AS docket_id) FROM docket_review_input QUALIFY row_number() OVER (PARTITION BY input_id ORDER BY ingested_at DESC) = 1),
-artifacts AS (SELECT docket_id, strftime(submitted_at, '%Y-%m-%dT%H:%M:%S+00:00') AS generated_at_utc, CASE WHEN case_facts IS NULL THEN 'insufficient_evidence' ELSE 'ready_for_review' END AS queue_label, CAST(input_id % 3 AS INT) AS review_version, source_run_id, input_id, case_facts
+artifacts AS (SELECT docket_id, strftime(submitted_at, '%Y-%m-%dT%H:%M:%S+00:00') AS generated_at_utc, CASE WHEN case_facts IS NULL THEN 'insufficient_evidence' ELSE 'ready_for_review' END AS queue_label, CASE input_id % 5 WHEN 0 THEN 'insufficient' WHEN 1 THEN ' Supported ' ELSE 'supported' END AS docket_support_status, CASE WHEN input_id % 7 <> 0 THEN CAST(input_id % 40 AS INT) END AS final_total_offense_level, CAST(input_id % 3 AS INT) AS review_version, source_run_id, input_id, case_facts
   FROM latest_inputs WHERE docket_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY docket_id, input_id % 3 ORDER BY input_id) = 1),
 final AS (SELECT docket_id, generated_at_utc, generated_at_utc AS updated_at_utc, CAST(input_id % 40 AS INT) AS level, 'input ' || input_id AS facts, review_version, source_run_id FROM artifacts WHERE case_facts IS NOT NULL),
 done AS (SELECT docket_id, coalesce(review_version, 0) AS review_version, review_decision, updated_at_utc AS reviewed_at_utc, reviewer_name AS approved_by FROM reviews WHERE lower(trim(coalesce(claim_status, ''))) = 'completed'

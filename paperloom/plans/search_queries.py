@@ -113,7 +113,7 @@ def _world(spark: SparkSession, d: str) -> DataFrame:
         c.join(up, F.col("c_nationkey") == F.col("n_nationkey")).select(cid.alias("node_id"), nid.alias("parent_id"), F.lit("diag").alias("tag"), F.array(F.col("r_regionkey").cast("int"), F.col("n_nationkey").cast("int"), F.col("c_custkey").cast("int")).alias("ords"), F.array(rid, nid).alias("path"), F.col("c_name").alias("name"), F.concat(F.lit("Q"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("code")),
     ]
     all_ = nodes[0].unionByName(nodes[1]).unionByName(nodes[2])
-    return all_.withColumns({"doc_id": F.lit("world"), "depth": F.size("path"), "title": F.col("name"), "see": F.lit(None).cast("string"), "see_also": F.lit(None).cast("string"), "notes": F.lit(None).cast("map<string,array<string>>")}).select(*(x.split()[0] for x in SCHEMA.split(", ")))
+    return all_.withColumns({"doc_id": F.lit("world"), "depth": F.size("path"), "title": F.col("name"), "see": F.lit(None).cast("string"), "see_also": F.lit(None).cast("string"), "notes": F.lit(None).cast("map<string,array<string>>"), "note_lines": F.lit(None).cast("array<string>"), "document_title": F.lit(None).cast("string")}).select(*(x.split()[0] for x in SCHEMA.split(", ")))
 
 
 def tree_ancestors(spark: SparkSession, d: str) -> DataFrame:

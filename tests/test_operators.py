@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import checks, citations, cohort, hierarchy, lookups, metrics, retrieval, review, selection, store, tree
+from paperloom.functions import text as t
 from paperloom.operators import orphans as o
 
 
@@ -311,16 +314,21 @@ def test_claims_and_carry_forward(spark):
     reviews = spark.createDataFrame(
         [("1", "a", "claimed", "t1", "2024-01-01T11:50:00Z", "u", 1, None, None, None), ("2", "b", "claimed", "t2", "2024-01-01T10:00:00Z", "u", 1, None, None, None), ("3", "c", "completed", "t3", None, "u", 0, "Approved", None, "{}"), ("3", "c", "completed", "t3", None, "v", 2, "rejected", None, None)], DECISIONS
     )
-    artifacts = spark.createDataFrame([("1", "q", 1), ("2", "q", 1), ("3", "q", 1), ("4", "q", 1), ("5", "q", None)], "docket_id string, queue_label string, review_version int")
+    artifacts = spark.createDataFrame([("1", "q", 1, " Supported", 9), ("2", "q", 1, "supported", 0), ("3", "q", 1, "supported", 1), ("4", "q", 1, "supported", 1), ("5", "q", None, "supported", 1), ("6", "q", 1, "no", 1), ("7", "q", 1, "supported", None)], "docket_id string, queue_label string, review_version int, docket_support_status string, final_total_offense_level int")
+    assert {r.docket_id for r in review.review_queue(artifacts, reviews, 1, supported_only=False).collect()} == {"1", "2", "3", "4", "6"}
     queue = review.review_queue(artifacts, reviews, 1)
     got = {r.docket_id: r for r in queue.collect()}
     assert set(got) == {"1", "2", "3", "4"} and got["3"].review_carried_forward and got["3"].review_decision == "rejected" and got["4"].claim_status is None
     assert {r.docket_id for r in review.claimable(queue, "other", now).collect()} == {"2", "4"}
     assert {r.docket_id for r in review.claimable(queue, "t1", now).collect()} == {"1", "2", "4"}
     assert review.claim_next(queue, "other", "me", now).first().claim_status == "claimed"
-    freed = {r.docket_id: r.claim_status for r in review.release(reviews.where("review_version = 1"), "1", "t9", now).collect()}
-    assert freed == {"1": "claimed", "2": "claimed"}
-    assert review.release(reviews.where("docket_id = '2'"), "2", "t9", now).first().claim_status == "available"
+    asked = lambda *pairs: spark.createDataFrame(pairs, "docket_id string, claim_token string")
+    freed = {(r.docket_id, r.review_version): r for r in review.release(reviews, asked(("1", "t9"), ("2", "t9"), ("3", "t9"), ("4", " ")), 1, now).collect()}
+    assert freed["1", 1].claim_status == "claimed"  # held by another token
+    assert freed["2", 1].claim_status == "available" and freed["2", 1].claim_token == "" and freed["2", 1].updated_at_utc == "2024-01-01T12:00:00+00:00" and freed["2", 1].verification_json == ""
+    assert freed["3", 0].review_decision == "Approved" and freed["3", 2].review_decision == "rejected"  # other versions
+    again = {(r.docket_id, r.review_version): r for r in review.release(reviews, asked((" 1 ", "t1"), ("3", "x")), 2, now).collect()}
+    assert again["1", 1].claim_status == "claimed" and again["3", 2].review_decision == "" and again["3", 2].claim_status == "available"
     assert [r.approved_by for r in review.completed(reviews).collect()] == ["c", "c"]
 
 
@@ -373,3 +381,75 @@ def test_orphans_on_deep_chains(spark):
     assert inspect.signature(orphans.cascade).parameters["max_rounds"].default is None
     with pytest.raises(RuntimeError):
         orphans.cascade(direct, provides, uses, rows, max_rounds=2)
+
+
+def test_merged_facts_keep_other_fields(spark):
+    import json
+
+    old = {"kept": {"deep": [1, {"x": None}]}, "case_facts": [{"fact": "old"}], "n": 1.5, "text": "a\nb"}
+    df = spark.createDataFrame([(json.dumps(old), '[{"fact": "new"}]'), (json.dumps({"a": 1}), None), ("no json", "[]")], "a string, f string")
+    got = [r[0] for r in df.select(review.merge_facts(F.col("a"), review.facts_of(F.col("f")))).collect()]
+    first = json.loads(got[0])
+    assert first["kept"] == old["kept"] and first["n"] == 1.5 and first["text"] == "a\nb" and [f["fact"] for f in first["case_facts"]] == ["new"]
+    assert json.loads(got[1]) == {"a": 1, "case_facts": []} and got[2] is None
+
+
+def test_release_order_is_by_version(spark):
+    final = spark.createDataFrame([("1", "old", 5, 1, "2024-02-01", "u", "g", "r"), ("1", "new", 6, 2, "2024-01-01", "u", "g", "r")], "docket_id string, input_case_facts_text string, ground_truth_offense_level int, review_version int, reviewed_at_utc string, updated_at_utc string, generated_at_utc string, source_run_id string")
+    said = spark.createDataFrame([("1", "Approved ")], "docket_id string, review_decision string")
+    assert tuple(review.approved_release(final, said).first()) == ("1", "new", 6)
+
+
+def test_case_texts_against_a_plain_loop(spark):
+    rng = random.Random(2)
+    rows = [(str(d), f"{i:03}", rng.choice([None, "", f"f{i}"]), rng.choice([None, f"/p/{i}"]), rng.choice([None, " ", "word " * rng.randint(0, 40), "a" + " " * 60 + "b", "\n\nx\n"])) for d in range(30) for i in range(rng.randint(1, 9))]
+
+    def plain(docs, most):
+        parts, used = [], 0
+        for i, (_, doc, name, path, text) in enumerate(docs, 1):
+            block = f"Document {i}: {name or doc}\nSource PDF: {path or 'unknown'}\nFull text:\n{(text or '').strip()}".strip()
+            if most is not None:
+                if most - used <= 0:
+                    break
+                if len(block) > most - used:
+                    block = block[: most - used].rstrip()
+            parts.append(block)
+            used += len(block) + 2
+        return "\n\n".join(parts).strip()
+
+    df = spark.createDataFrame(rows, "docket_id string, document_id string, source_file_name string, source_pdf_path string, text string")
+    for most in (None, 1, 37, 150, 400):
+        got = {r.docket_id: r.text for r in review.case_texts(df, most).collect()}
+        assert got == {d: plain([r for r in rows if r[0] == d], most) for d in {r[0] for r in rows}}
+
+
+def test_salted_joins_are_plain_joins(spark, monkeypatch):
+    from paperloom.operators import skew
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "i long, k string")
+    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("none", 3)], "k string, v int")
+    salts = skew.salts_for(left.groupBy("k").agg(F.count("*").alias("n")), ["k"], rows_per_salt=20)
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        names = ["i", "k", "v"] if how in ("inner", "left") else ["i", "k"]
+        assert sorted(map(str, skew.salted_join(left, right, ["k"], how, salts).select(names).collect())) == sorted(map(str, left.join(right, "k", how).select(names).collect()))
+    assert skew.salted_join(left.limit(0), right, ["k"]).count() == 0
+
+
+def test_long_chains_of_orphans(spark):
+    n = 60
+    direct = spark.createDataFrame([("t", 0, None, "missing")], "table_name string, row_id long, at timestamp, reason string")
+    provides = spark.createDataFrame([("t", i, f"l{i}") for i in range(n)], "table_name string, row_id long, link string")
+    uses = spark.createDataFrame([("t", i, f"l{i - 1}") for i in range(1, n)] + [("t", 3, "nowhere"), ("t", 4, None)], "table_name string, row_id long, link string")
+    every = provides.select("table_name", "row_id", F.lit(None).cast("timestamp").alias("at"))
+    from paperloom.operators import orphans
+
+    assert orphans.cascade(direct, provides, uses, every).agg(F.max("round"), F.count("*")).first() == (n - 1, n)
+    assert [tuple(r) for r in orphans.unprovided(provides, uses, every).select("row_id", "link").collect()] == [(3, "nowhere")]
+
+
+def test_entities_as_the_standard_library_reads_them(spark):
+    import html
+
+    texts = ["&#8217;&eacute;&nbsp;x", "&amp;lt; &lt &copy2 &#x41;&#65 &#0; &#128; &#xD800; &#x110000; &bogus; & &;", "no entity", "&#99999999999999999999;&notit; &notin; &sect", "&#x1F600;&CounterClockwiseContourIntegral;", "", None]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert [r[0] for r in df.select(t.unescape(F.col("x"))).collect()] == [None if x is None else html.unescape(x) for x in texts]

@@ -259,3 +259,17 @@ def count_tokens(docs: DataFrame, keep: list[str], vocabulary: str | None = None
     source = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}" for i in range(n))
     return source.mapInArrow(run, f"{schema}{', ' if n else ''}n bigint").select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("n").alias(out_col))
+
+
+def decode_corpus(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", out_col: str = "text") -> DataFrame:
+    """``id_col`` and the text of every row's ids; bytes that are no UTF-8 are replaced, null ids give null."""
+    raw = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path(vocabulary)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {i: b for b, i in parse_ranks(raw.value).items()}
+        for batch in batches:
+            texts = [None if ids is None else b"".join(map(token.__getitem__, ids)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text string").select(F.col("id").alias(id_col), F.col("text").alias(out_col))

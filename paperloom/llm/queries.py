@@ -27,6 +27,8 @@ def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose stored estimate is wrong. The stated rule decides by characters and rate; the trie's count of each text
+    comes with it and is what the budgets add up."""
     return token_budget.chunk_tokens(table(tune(spark), d, "chunks_legal"), table(spark, d, "legal_rag_config")).where("wrong").select("chunk_id")
 
 
@@ -34,6 +36,15 @@ def p4_chunk_budget(spark: SparkSession, d: str) -> DataFrame:
     return token_budget.chunk_budget(token_budget.chunk_tokens(table(tune(spark), d, "chunks_legal"), table(spark, d, "legal_rag_config")))
 
 
+def p4_chunk_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk budget without the tokens counted by the vocabulary."""
+    return p4_chunk_budget(spark, d).drop("counted_tokens")
+
+
+def p4_document_slices(spark: SparkSession, d: str) -> DataFrame:
+    return p4_document_budget(spark, d).drop("counted_tokens")
+
+
 def p4_document_budget(spark: SparkSession, d: str) -> DataFrame:
     return token_budget.document_budget(table(tune(spark), d, "documents"))
 
@@ -46,10 +57,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).where("piece_no = 2").select("chunk_id")
 
 
+def p5_whole(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each oversized text give when put together again."""
+    whole = splitting.reassembled(p5_pieces(spark, d))
+    limits = splitting.oversized(table(spark, d, "chunks_legal"), table(spark, d, "legal_rag_config")).select("chunk_id", "limit").distinct()
+    return whole.join(limits, "chunk_id").select("chunk_id", F.md5("text").alias("digest"), (F.col("longest") <= F.col("limit")).alias("within"), F.array_join("overlaps", ",").alias("overlaps"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(tune(spark), d, "documents"))
 
 
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the ids stand for."""
+    return encoding.decode_corpus(p6_ids(spark, d)).select("doc_id", F.md5("text").alias("digest"))
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix_sources(table(tune(spark), d, "documents"), table(spark, d, "mix_targets"))
 
@@ -75,4 +98,4 @@ def p8_pages(spark: SparkSession, d: str) -> DataFrame:
     return judged.select("doc_id", "lang", *(F.round(c, 6).alias(c) for c in ("slope", "residual", "types", "divergence", "excess", "curve")), "spam")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_repaired, p4_found, p4_chunk_budget, p4_document_budget, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_pages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_repaired, p4_found, p4_chunk_budget, p4_chunk_slices, p4_document_budget, p4_document_slices, p5_found, p5_pieces, p5_whole, p6_ids, p6_decoded, p7_found, p7_mix, p7_report, p8_found, p8_pages)}

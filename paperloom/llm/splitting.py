@@ -135,3 +135,14 @@ def split_oversized(chunks: DataFrame, config: DataFrame) -> DataFrame:
                 )
 
     return source.mapInPandas(run, "chunk_id string, piece_no int, n_pieces int, semantic_path string, start int, end int, text string")
+
+
+def reassembled(pieces: DataFrame) -> DataFrame:
+    """(chunk_id, text, n_pieces, longest, overlaps): the text that the pieces of a chunk give when each drops what it
+    repeats, the longest piece, and the distinct numbers of characters repeated, ascending."""
+    one = F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "text")))  # the pieces of one text
+    parts = pieces.groupBy("chunk_id").agg(one.alias("p"))
+    ends = F.concat(F.array(F.lit(0)), F.transform("p", lambda x: x["end"]))
+    fresh = F.transform("p", lambda x, i: F.substr(x["text"], F.element_at(ends, i + 1) - x["start"] + 1))
+    repeated = F.array_sort(F.array_distinct(F.transform(F.slice("p", 2, 1 << 30), lambda x, i: F.element_at(ends, i + 2) - x["start"])))
+    return parts.select("chunk_id", F.array_join(fresh, "").alias("text"), F.size("p").alias("n_pieces"), F.array_max(F.transform("p", lambda x: F.length(x["text"]))).alias("longest"), repeated.alias("overlaps"))

@@ -140,8 +140,9 @@ def strip_html(c: Column) -> Column:
 
 
 def guideline_text(c: Column) -> Column:
-    """Curly quotes straightened, newlines to blanks, ends stripped."""
-    return strip_ws(F.regexp_replace(F.translate(c, "‘’“”", "''\"\""), r"\n+", " "))
+    """Curly quotes straightened, runs of blanks and of newlines to one blank, ends stripped."""
+    t = F.regexp_replace(F.translate(c, "‘’“”", "''\"\""), r"\r\n?", "\n")
+    return strip_ws(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n+", " "))
 
 
 def one_line(c: Column) -> Column:

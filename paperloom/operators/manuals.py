@@ -145,8 +145,9 @@ def appendix_entries(pages: DataFrame, year: int, key: str = "source_path") -> D
 
 # --- contents
 
+# Lines of a table of contents.
 _CHAPTER, _PART, _SUB = re.compile(r"CHAPTER\s+[A-Z0-9]+$", re.I), re.compile(r"(?:PART|Part)\s+[A-Z0-9]+\s*[-—]"), re.compile(r"\d+\.(?:$|\s)")
-_NUMBER, _END = re.compile(r"[.|]*\d+$|\|?\s*[ivxlcdm]+$", re.I), re.compile(r"Ch\.\s*\d+\b|§")
+_NUMBER = re.compile(r"[.|]*\d+$|\|?\s*[ivxlcdm]+$", re.I)
 _TAIL = re.compile(r"\s*[.|]*\d+\s*$")
 CONTENTS = "chapter_ord int, part_ord int, sub_ord int, chapter string, title string, part string, subheading string"
 
@@ -207,6 +208,81 @@ def table_of_contents(pages: DataFrame, key: str = "source_path") -> DataFrame:
     return own.groupBy(key).applyInPandas(read, f"{key} {key_type}, {CONTENTS}")
 
 
+# --- contents of the coding guidelines
+
+# The manual's name, lines its pages repeat, a marker that stands alone, and the pages of its contents.
+GUIDELINES_NAME = "FY 2019 ICD-10-CM Official Guidelines for Coding and Reporting"
+GUIDELINE_ARTIFACTS = ("FY 2019", "ICD-10-CM Official Guidelines for Coding and Reporting", "ICD-10-CM Official Guidelines for Coding and Reporting.")
+_PAGE_OF = re.compile(r"Page \d+ of \d+")
+_MARKER = re.compile(r"\d+[.)]|[A-Z][.)]|[a-z][.)]|(?:Section|Appendix) [IVXLC]+\.?")
+CONTENTS_PAGES = (2, 7)
+
+
+def guideline_artifact(line: Column) -> Column:
+    """Lines that the pages of the guidelines repeat, and blank ones."""
+    text = guideline_text(line)
+    return (text == "") | text.isin(*GUIDELINE_ARTIFACTS) | text.rlike(rf"^{_PAGE_OF.pattern}$")
+
+
+class _Contents:
+    """Reads contents whose page numbers close each entry, and whose markers may have slipped before an earlier entry.
+
+    Markers that found no title wait in a queue; an entry without a marker of its own takes the first one waiting. A
+    chapter takes a marker that stands before it in its own lines, and then the one waiting longest is void.
+    """
+
+    def __init__(self) -> None:
+        self.waiting: list[str] = []
+
+    def title(self, lines: list[str]) -> str | None:
+        if not lines:
+            return None
+        chapter = next((i for i, x in enumerate(lines) if x.startswith("Chapter ")), None)
+        words = [x for x in lines[chapter or 0 :] if not _MARKER.fullmatch(x)]
+        marker = None
+        if chapter is not None:
+            own = [x for x in lines[:chapter] if _MARKER.fullmatch(x)]
+            if not words:
+                self.waiting += own
+                return None
+            marker = next(iter(own or self.waiting), None)
+            self.waiting = self.waiting[1:] + own[1:]
+        else:
+            if _MARKER.fullmatch(lines[0]):
+                marker = lines[0]
+            elif self.waiting:
+                marker = self.waiting.pop(0)
+            if not words:
+                self.waiting[:0] = [marker] if marker else []
+                return None
+        return " ".join(" ".join([marker, *words] if marker else words).split()).rstrip(".")
+
+
+def guideline_contents(pages: DataFrame, key: str = "source_path") -> DataFrame:
+    """The contents of each coding guideline: (key, ord, section_id, title, level, target_page), from its first pages.
+
+    Entries without a marker, and the manual's own name, are none. The lines are a true sequence with markers that wait
+    over entries; those few pages of a manual are read by one task.
+    """
+    key_type = pages.schema[key].dataType.simpleString()
+    lines = lines_of(pages.where(F.col("page").between(*CONTENTS_PAGES)), key, "text", "page").where(~guideline_artifact(F.col("text"))).select(key, "page", "line", guideline_text(F.col("text")).alias("text"))
+
+    def read(frame: pd.DataFrame) -> pd.DataFrame:
+        state, open_, out = _Contents(), [], []
+        for text in frame.sort_values(["page", "line"])["text"]:
+            if not text.isdecimal():
+                open_.append(text)
+            elif open_:
+                title = state.title(open_)
+                open_ = []
+                if title and title != GUIDELINES_NAME:
+                    out.append((frame[key].iloc[0], len(out) + 1, title, int(text)))
+        return pd.DataFrame(out, columns=[key, "ord", "title", "target_page"])
+
+    found = lines.groupBy(key).applyInPandas(read, f"{key} {key_type}, ord int, title string, target_page int").withColumn("level", outline_level(F.col("title"))).where("level > 0")
+    return found.select(key, "ord", F.concat_ws("|", F.lit("guidelines"), F.col("target_page").cast("string"), slug(F.col("title"))).alias("section_id"), "title", "level", "target_page")
+
+
 # --- outlines
 
 

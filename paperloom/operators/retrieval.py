@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from paperloom.functions.text import strip_ws
+
 K1, B, RRF = 1.2, 0.75, 60
 #: Columns of an index table by role.
 ROLES = {"chunk_id": "key", "source_type": "filter", "source_year": "filter", "chunk_title": "search", "text": "search", "content_vector": "vector"}
@@ -59,11 +61,46 @@ def in_blocks(queries: DataFrame, score: Callable[[list], DataFrame]) -> DataFra
     return reduce(DataFrame.unionByName, made)
 
 
+class _Best:
+    """The best ``k`` rows of each query that a task has seen, ties by key: what it hands on is no more than that."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
+        self.floor = np.full(n_queries, -np.inf)
+        self.rows = pd.DataFrame({"q": np.zeros(0, np.int64), "key": np.zeros(0, object), "score": np.zeros(0)})
+        self.new: list[pd.DataFrame] = []
+        self.size = 0
+
+    def add(self, scores: np.ndarray, keys: pa.Array, least: float = -np.inf) -> None:
+        """Scores of all queries (rows) for some keys (columns), rounded; only those above ``least`` count."""
+        n = min(self.k, scores.shape[1])
+        own = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+        q, at = np.nonzero((scores >= np.maximum(own, self.floor)[:, None]) & (scores > least))
+        self.new.append(pd.DataFrame({"q": q, "key": np.asarray(keys.take(pa.array(at)).to_pylist(), dtype=object), "score": scores[q, at]}))
+        self.size += len(q)
+        if self.size > 4 * self.k * len(self.floor) + 100_000:
+            self.settle()
+
+    def settle(self) -> pd.DataFrame:
+        rows = pd.concat([self.rows, *self.new], ignore_index=True) if self.new else self.rows
+        rows = rows.sort_values(["q", "score", "key"], ascending=[True, False, True], kind="stable")
+        place = rows.groupby("q").cumcount()
+        self.rows = rows[place < self.k]
+        full = self.rows[place[self.rows.index] == self.k - 1]
+        self.floor[full["q"].to_numpy(dtype=np.int64)] = full["score"].to_numpy()
+        self.new, self.size = [], 0
+        return self.rows
+
+    def batch(self, ids: pa.Array, key: str, query_key: str, key_type: pa.DataType) -> pa.RecordBatch:
+        rows = self.settle()
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows["q"].to_numpy(dtype=np.int64))), pa.array(list(rows["key"]), key_type), pa.array(rows["score"].to_numpy(dtype=np.float64))], names=[query_key, key, "score"])
+
+
 def nearest(index: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_id", vector: str = "content_vector", query_key: str = "query_id") -> DataFrame:
     """Exact cosine top ``k`` of the index for each query: (query_id, key, score, rank), ties by key.
 
     The queries are taken in blocks of at most ``MOST_QUERIES``; each task scores its rows against the block of queries as one
-    matrix product and keeps k per query, so what is shuffled is k rows per query and task.
+    matrix product and keeps the best k per query over all its batches, so what is shuffled is k rows per query and task.
     """
     return in_blocks(queries.select(query_key, vector), lambda rows: _nearest(index, queries, rows, k, key, vector, query_key))
 
@@ -75,19 +112,18 @@ def _nearest(index: DataFrame, queries: DataFrame, rows: list, k: int, key: str,
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
     shared = index.sparkSession.sparkContext.broadcast((pa.array([r[query_key] for r in rows], to_arrow_type(queries.schema[query_key].dataType)), matrix))
 
+    key_type = to_arrow_type(index.schema[key].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.asarray(batch.column(1).values.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
-            s = q @ v.T
-            n = min(k, batch.num_rows)
-            # all rows that reach the n-th best score, so that ties are decided by key later
-            floor = np.partition(s, batch.num_rows - n, axis=1)[:, batch.num_rows - n]
-            qi, ri = np.nonzero(s >= floor[:, None])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(qi)), batch.column(0).take(pa.array(ri)), pa.array(s[qi, ri])], names=[query_key, key, "score"])
+        best = _Best(len(q), k)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                v = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+                best.add(q @ v.T, batch.column(0))
+        yield best.batch(ids, key, query_key, key_type)
 
     types = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
     scored = index.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, types)
@@ -121,8 +157,11 @@ def _bm25(index: DataFrame, queries: DataFrame, docs: DataFrame, stats, asked: l
         matrix[i, [place[t] for t in r["_t"]]] = 1.0
     shared = index.sparkSession.sparkContext.broadcast((pa.array([r[query_key] for r in asked], to_arrow_type(queries.schema[query_key].dataType)), matrix, place, idf, stats["mean"] or 1.0))
 
+    key_type = to_arrow_type(index.schema[key].dataType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, at, weight, mean = shared.value
+        best = _Best(len(q), k)
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
@@ -136,13 +175,9 @@ def _bm25(index: DataFrame, queries: DataFrame, docs: DataFrame, stats, asked: l
                     column = w[:, j]
                     w[:, j] = weight * column * (K1 + 1) / (column + length)
                 used = np.flatnonzero(w.any(axis=1))
-                if not len(used):
-                    continue
-                s = q[:, used] @ w[used]
-                n = min(k, batch.num_rows)
-                floor = np.partition(s, batch.num_rows - n, axis=1)[:, batch.num_rows - n]
-                qi, ri = np.nonzero((s >= floor[:, None] - 1e-9) & (s > 0))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(qi)), batch.column(0).take(pa.array(ri)), pa.array(s[qi, ri])], names=[query_key, key, "score"])
+                if len(used):
+                    best.add(np.round(q[:, used] @ w[used], 9), batch.column(0), 0.0)
+        yield best.batch(ids, key, query_key, key_type)
 
     if not names:
         return index.sparkSession.createDataFrame([], f"{types}, rank int")
@@ -168,3 +203,38 @@ def hybrid(index: DataFrame, queries: DataFrame, k: int = 8, filters: dict[str,
 
 def clamp_k(k: int | None, default: int = 8, most: int = 8) -> int:
     return max(1, min(most, default if k is None else int(k)))
+
+
+# Source types a search may name, and hits at most.
+SOURCE_TYPES, MOST_HITS = ("guidelines", "index", "tabular"), 8
+
+
+def search_requests(index: DataFrame, requests: DataFrame, default_k: int = MOST_HITS, source_types: tuple[str, ...] = SOURCE_TYPES, key: str = "chunk_id") -> DataFrame:
+    """Answers to a table of search requests (session_id, request_id, query_text, top_k, source_type, query_mode), one row each.
+
+    An answer echoes what was asked in its normal form and holds status ``ok``, the number of the call in its session
+    (refused ones do not count), the number of hits and the hits in order; a blank query or an unknown source type is
+    status ``error`` with type and message. ``top_k`` lies between 1 and ``MOST_HITS``; a null one is the default.
+    The index has ``key``, source_type and text.
+    """
+    query = strip_ws(F.coalesce("query_text", F.lit("")))
+    kind = F.lower(strip_ws(F.col("source_type")))
+    known = F.coalesce(kind, F.lit("")).isin("", *source_types)
+    field = F.when(F.col("query_mode") == "full_case", "case_summary").otherwise("query_text")
+    message = F.when(query == "", F.concat(field, F.lit(" must not be blank"))).when(~known, F.concat(F.lit(f"source_type must be one of {sorted(source_types)}, got '"), kind, F.lit("'")))
+    asked = requests.select("session_id", "request_id", query.alias("query_text"), "query_mode", F.greatest(F.lit(1), F.least(F.lit(MOST_HITS), F.coalesce(F.col("top_k"), F.lit(default_k)))).alias("top_k"), kind.alias("source_type"), message.alias("error_message"))
+    good = asked.where("error_message is null")
+    calls = good.select("session_id", "request_id", F.row_number().over(Window.partitionBy("session_id").orderBy("request_id")).alias("call_count"))  # calls of one session
+    hits = None
+    for one in (None, *source_types):
+        own = index if one is None else index.where(F.col("source_type") == one)
+        these = good.where(F.coalesce("source_type", F.lit("")) == (one or "")).select(F.col("request_id").alias("query_id"), F.col("query_text").alias("query"), "top_k")
+        found = bm25(own, these, MOST_HITS, key).join(these.select("query_id", "top_k"), "query_id").where(F.col("rank") <= F.col("top_k")).drop("top_k")
+        hits = found if hits is None else hits.unionByName(found)
+    listed = hits.groupBy(F.col("query_id").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(key), "score"))).alias("results"))  # MOST_HITS at most
+    answered = asked.join(calls, ["session_id", "request_id"], "left").join(listed, "request_id", "left")
+    failed = F.col("error_message").isNotNull()
+    return answered.select(
+        "session_id", "request_id", "query_text", "query_mode", "top_k", "source_type", F.when(failed, "error").otherwise("ok").alias("status"), F.when(failed, "ValueError").alias("error_type"), "error_message",
+        "call_count", F.when(~failed, F.coalesce(F.size("results"), F.lit(0))).alias("count"), "results",
+    )

@@ -58,12 +58,16 @@ def parse_xml(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in SCHEMA.split(", ")]
         for frame in frames:
+            rows: list[tuple] = []
             for doc, content in zip(frame["doc_id"], frame["content"]):
                 try:
-                    rows = list(xml_nodes(doc, ET.fromstring(bytes(content) if not isinstance(content, str) else content)))
+                    rows += xml_nodes(doc, ET.fromstring(bytes(content) if not isinstance(content, str) else content))
                 except (ET.ParseError, TypeError) as problem:
-                    rows = [(doc, f"{doc}/error", None, "error", 0, [], [], None, str(problem), None, None, None, {}, [], None)]
-                yield pd.DataFrame(rows, columns=columns)
+                    rows.append((doc, f"{doc}/error", None, "error", 0, [], [], None, str(problem), None, None, None, {}, [], None))
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return files.select("doc_id", "content").mapInPandas(run, SCHEMA)
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans import cohort_queries, orphan_queries, review_queries, search_queries, text_queries
+from paperloom.plans import cohort_queries, orphan_queries, review_queries, search_queries, surface_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (cohort_queries, text_queries, review_queries, search_queries, orphan_queries):
+for _module in (cohort_queries, text_queries, review_queries, search_queries, orphan_queries, surface_queries):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

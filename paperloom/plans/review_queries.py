@@ -219,4 +219,8 @@ ORACLES = {
   FROM w JOIN k ON k.docket_id = w.docket_id AND k.i = w.i + 1 WHERE w.used < 3000),
  e AS (SELECT docket_id, regexp_replace(arg_max(txt, i), {_ENDS}, '', 'g') AS txt FROM w GROUP BY 1)
  SELECT docket_id, length(txt) AS n, md5(txt) AS digest FROM e""",
+    "fact_clean": rf"""{_W}, {_FACTS}, u AS (SELECT input_id, i, regexp_replace(regexp_replace(coalesce(json_extract_string(facts, '$[' || (i - 1) || '].fact'), ''), '[\s\pZ\x0b\x85\x1c-\x1f]+', ' ', 'g'), '^ | $', '', 'g') AS x FROM (SELECT input_id, facts, unnest(generate_series(1, CAST(json_array_length(facts) AS BIGINT))) AS i FROM p WHERE facts IS NOT NULL)),
+ k AS (SELECT * FROM u WHERE x <> '' AND NOT ({" OR ".join(f"contains(lower(x), '{w}')" for w in LEAKY)}) QUALIFY row_number() OVER (PARTITION BY input_id, lower(x) ORDER BY i) = 1),
+ g AS (SELECT input_id, CAST(count(*) AS INT) AS n, md5(string_agg(x, chr(10) ORDER BY i)) AS digest FROM k GROUP BY 1)
+ SELECT input_id, CASE WHEN facts IS NOT NULL THEN coalesce(n, 0) END AS n, CASE WHEN facts IS NOT NULL THEN coalesce(digest, md5('')) END AS digest FROM p LEFT JOIN g USING (input_id)""",
 }

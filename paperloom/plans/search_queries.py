@@ -46,6 +46,14 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.hybrid(index, asked).select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
+def hybrid_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Both rankings of the parts that have an embedding, fused."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("content_vector"))
+    index = _parts(spark, d).join(vectors, "chunk_id")
+    asked = index.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"), "content_vector")
+    return retrieval.hybrid(index, asked).select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
+
+
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
     """Per order what two halves of its lines say: brands of lines up to the third against those from the second on."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
@@ -153,7 +161,7 @@ def rollup_extension(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (vector_topk, filtered_topk, bm25_topk, hybrid_rrf, set_metrics, macro_summary, comparison_grid, exact_match_rate, variant_rank, span_summary, early_late, spans_flat, durations, tree_ancestors, children_truncated, descendants_listed, code_suggest, index_upsert, rollup_extension)
+    for f in (vector_topk, filtered_topk, bm25_topk, hybrid_rrf, hybrid_vectors, set_metrics, macro_summary, comparison_grid, exact_match_rate, variant_rank, span_summary, early_late, spans_flat, durations, tree_ancestors, children_truncated, descendants_listed, code_suggest, index_upsert, rollup_extension)
 }
 
 _COSINE = """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS chunk_id, array_cosine_similarity(v, CAST(embedding AS DOUBLE[64])) AS score FROM q, embeddings {0})
@@ -189,4 +197,12 @@ ORACLES = {
  SELECT request_id, id IS NOT NULL AS found, id AS node_id, CASE WHEN id IS NULL THEN (SELECT array_to_string(list_slice(list(code ORDER BY ords), 1, 10), ',') FROM world h WHERE substr(h.code, 1, 3) = substr(a.k, 1, 3)) END AS suggestions FROM a LEFT JOIN world w ON w.code = a.k""",
     "index_upsert": "SELECT chunk_id, max(loaded_at) AS loaded_at FROM chunks_legal GROUP BY 1",
     "rollup_extension": "SELECT kind, source_year, count(*) AS n, CAST(grouping(kind) * 2 + grouping(source_year) AS BIGINT) AS g FROM (SELECT DISTINCT ON (chunk_id) lower(trim(source_type)) AS kind, source_year FROM chunks_legal) GROUP BY ROLLUP (kind, source_year)",
+    "hybrid_vectors": r"""WITH x AS (SELECT p_partkey AS id, concat_ws(' ', p_name, p_brand, p_type) AS txt, CAST(embedding AS DOUBLE[64]) AS v FROM part JOIN embeddings ON vec_id = p_partkey),
+ d AS (SELECT id, list_filter(regexp_split_to_array(lower(txt), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM x), st AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d),
+ w AS (SELECT DISTINCT id AS q, unnest(t) AS term FROM d WHERE id % 20 = 0), tf AS (SELECT id, l, term, count(*) AS tf FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ b AS (SELECT q, id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS s FROM w JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL),
+ rb AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, id) AS r FROM b QUALIFY r <= 50),
+ rc AS (SELECT a.id AS q, c.id, row_number() OVER (PARTITION BY a.id ORDER BY array_cosine_similarity(a.v, c.v) DESC, c.id) AS r FROM x a, x c WHERE a.id % 20 = 0 QUALIFY r <= 50),
+ f AS (SELECT q, id, sum(1.0 / (60 + r)) AS s FROM (FROM rb UNION ALL FROM rc) GROUP BY ALL)
+ SELECT q AS query_id, id AS chunk_id, CAST(row_number() OVER (PARTITION BY q ORDER BY round(s, 12) DESC, id) AS INT) AS rank, round(s, 9) AS score FROM f QUALIFY rank <= 8""",
 }

@@ -115,14 +115,14 @@ def title18_html(spark: SparkSession, d: str) -> DataFrame:
 def ussg_pages(spark: SparkSession, d: str) -> DataFrame:
     """Chunk texts read as pages of their files and cut into sections by the manual's grammar."""
     rows = _chunks(spark, d).where("text is not null")
-    pages = rows.select("source_path", F.xxhash64("chunk_id").alias("page"), F.regexp_replace("text", r"(?m)^Section: ", "").alias("text"))
+    pages = rows.select("source_path", F.col("chunk_id").alias("page"), F.regexp_replace("text", r"(?m)^Section: ", "").alias("text"))
     return manuals.ussg_chunks(pages, 2018).select("chunk_id", "citation", "estimated_tokens")
 
 
 def statute_entries(spark: SparkSession, d: str) -> DataFrame:
     """A statutory index written from the chunks' citations, one page a file, and read back."""
-    rows = _chunks(spark, d).where("citation like '%U.S.C.%' and chunk_title rlike '^§[0-9][A-Z]'")
-    line = F.concat("citation", F.lit("\n"), F.regexp_extract("chunk_title", r"^§(\S+)", 1))
+    rows = _chunks(spark, d).where("citation is not null")
+    line = F.concat("citation", F.lit("\n"), F.coalesce(F.regexp_extract("chunk_title", r"^§(\S+)", 1), F.lit("")))
     page = rows.groupBy("source_path").agg(F.concat(F.lit("APPENDIX A\n"), F.array_join(F.array_sort(F.collect_set(line)), "\n")).alias("text")).withColumn("page", F.lit(1))
     return manuals.appendix_entries(page, 2018).select("source_path", "statute_citation", F.array_join("guideline_sections", ",").alias("sections"))
 
@@ -135,9 +135,14 @@ _SPACE = _STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(text, '\r\
 _LINES = r"l AS (SELECT chunk_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS x, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) AS line FROM c WHERE text IS NOT NULL)"
 _HEADS = "('Application Notes', 'Commentary', 'Background', 'Historical Note')"
 _RANKED = "o AS (SELECT l_orderkey, l_linenumber AS ord, CAST(min(l_partkey) % 3 AS INT) AS level FROM lineitem GROUP BY ALL)"
+_PIECES = rf"""blocks AS (SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY k) AS i, x FROM (SELECT chunk_id, k, {_STRIP.format('u')} AS x FROM (SELECT chunk_id, unnest(string_split(text, chr(10) || chr(10))) AS u, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS k FROM c WHERE length(text) > @LIMIT)) WHERE x <> ''),
+ walk(chunk_id, i, piece, filled) AS (SELECT chunk_id, i, CAST(0 AS BIGINT), length(x) + 2 FROM blocks WHERE i = 1
+  UNION ALL SELECT b.chunk_id, b.i, CASE WHEN filled + length(b.x) + 2 > @LIMIT THEN piece + 1 ELSE piece END, CASE WHEN filled + length(b.x) + 2 > @LIMIT THEN length(b.x) ELSE filled + length(b.x) + 2 END FROM walk w JOIN blocks b ON b.chunk_id = w.chunk_id AND b.i = w.i + 1),
+ pieces AS (SELECT chunk_id, piece, string_agg(x, chr(10) || chr(10) ORDER BY i) AS x, true AS long FROM walk JOIN blocks USING (chunk_id, i) GROUP BY ALL
+  UNION ALL SELECT chunk_id, 0, text, length(text) > @LIMIT FROM c WHERE text IS NOT NULL AND (length(text) <= @LIMIT OR chunk_id NOT IN (SELECT chunk_id FROM blocks)))"""
 ORACLES = {
     "title18_html": f"WITH {_C} SELECT chunk_id, {_STRIP.format("split_part(semantic_path, ' > ', 1)")} AS chapter_heading, {_STRIP.format('chunk_title')} AS heading, md5({_SPACE}) AS digest FROM c WHERE text IS NOT NULL AND chunk_title IS NOT NULL AND {_SPACE} <> ''",
-    "statute_entries": rf"WITH {_C} SELECT DISTINCT source_path, citation AS statute_citation, regexp_extract(chunk_title, '^§(\S+)', 1) AS sections FROM c WHERE contains(citation, 'U.S.C.') AND regexp_matches(chunk_title, '^§[0-9][A-Z]')",
+    "statute_entries": rf"WITH {_C} SELECT DISTINCT source_path, citation AS statute_citation, regexp_extract(chunk_title, '^§([0-9][A-Z][0-9]+\.[0-9]+)', 1) AS sections FROM c WHERE regexp_matches(citation, '^[0-9]+ U\.S\.C\. §+ .+$') AND regexp_matches(chunk_title, '^§[0-9][A-Z][0-9]+\.[0-9]+\b')",
     "ws_normalize": f"WITH {_C} SELECT chunk_id, length({_SPACE}) AS n, md5({_SPACE}) AS digest FROM c",
     "html_strip": "SELECT doc_id, ltrim(coalesce(source, '') || chr(10) || chr(10) || 'A&B <' || doc_id || '>' || chr(160) || ' bold ' || chr(10) || 'end', chr(10)) AS text FROM documents",
     "nonblank_lines": r"SELECT doc_id, len(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: trim(x) <> '')) AS n FROM documents WHERE text IS NOT NULL",
@@ -163,4 +168,7 @@ ORACLES = {
  hit AS (SELECT request_id, r, entry_id, CASE WHEN token = k THEN 1 WHEN starts_with(token, k) AND NOT regexp_full_match(substr(token, length(k) + 1, 1), '[0-9]') THEN 2 WHEN NOT structured AND contains(token, k) THEN 3 END AS tier FROM v, e),
  best AS (SELECT request_id, min((tier, r)) AS b FROM hit WHERE tier IS NOT NULL GROUP BY 1)
  SELECT DISTINCT hit.request_id, hit.tier, entry_id FROM hit JOIN best ON best.request_id = hit.request_id AND (hit.tier, hit.r) = best.b""",
+    "split_greedy": f"WITH RECURSIVE {_C}, {_PIECES.replace("@LIMIT", "2000")} SELECT chunk_id, CAST(piece AS INT) AS i, length(x) AS n FROM pieces",
+    "rechunked": f"""WITH RECURSIVE {_C}, {_PIECES.replace("@LIMIT", "9000")}, m AS (SELECT p.chunk_id AS source_chunk, piece + 1 AS part, long, c.chunk_title AS t, concat_ws('|', c.source_type, c.source_path, p.chunk_id || '|' || (piece + 1)) AS raw, {_SPACE.replace("text", "x")} AS y FROM pieces p JOIN c USING (chunk_id))
+ SELECT regexp_replace(substr(regexp_replace(regexp_replace(raw, '[^a-zA-Z0-9_-]', '-', 'g'), '^-+|-+$', '', 'g'), 1, 187), '-+$', '') || '-' || substr(sha1(raw), 1, 12) AS chunk_id, CASE WHEN long THEN t || ' (part ' || part || ')' ELSE t END AS chunk_title, CAST(greatest(1, floor(length(y) / 4.0 + 0.9999)) AS INT) AS estimated_tokens, length(y) AS n FROM m""",
 }

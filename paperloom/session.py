@@ -67,18 +67,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def scratch_path(spark: SparkSession, name: str, suffix: str = "") -> str:
+    """A new path in the shared folder, deleted when the process ends."""
+    path = f"{scratch_dir(spark)}/paperloom/{name}-{uuid.uuid4().hex}{suffix}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step", partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     Survives the loss of executors, is column-pruned by later readers and compressed. Removed when the process ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -76,22 +76,48 @@ def list_paths(spark: SparkSession, path: str | list[str], glob: str | None = No
 
     Blank docket names are dropped; None means all. ``ord`` counts from 1.
     """
-    from pyspark.sql import Window
-
-    found = read_binary(spark, path, glob, recursive).select("path").distinct()
+    wanted = sorted({d.strip() for d in dockets or [] if d and d.strip()})
+    roots = [path] if isinstance(path, str) else list(path)
+    if dockets is not None:
+        # folders of other dockets are never listed
+        roots = [p for root in roots for d in wanted for p in (f"{root.rstrip('/*')}/{d}", f"{root.rstrip('/*')}/{d}/*") if path_exists(spark, p)]
+    empty = spark.createDataFrame([], "docket_id string, path string, ord bigint")
+    if not roots:
+        return empty
+    found = read_binary(spark, roots, glob, recursive).select("path").distinct()
     docket = F.regexp_extract("path", r"/([0-9]+)/[^/]*(?:/[^/]*)?$", 1)
     rows = found.select(docket.alias("docket_id"), "path").where("docket_id <> ''")
-    wanted = [d.strip() for d in dockets or [] if d and d.strip()]
-    if dockets is not None:
-        rows = rows.where(F.col("docket_id").isin(wanted))
     if limit is not None:
         rows = rows.orderBy("path").limit(limit)
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("docket_id").orderBy("path")))
 
 
-def read_exports(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Exported documents, one JSON object a file."""
-    return spark.read.schema(PAGES).option("multiLine", True).json(path)
+def preview_paths(found: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` listed files by path with their place ``index``, from 1, and the number of all."""
+    total = found.agg(F.count("*").alias("n")).first()["n"]
+    first = found.orderBy("path").limit(n)  # as many rows as are shown
+    return first.withColumns({"index": F.row_number().over(Window.orderBy("path")), "n_files": F.lit(total)})
+
+
+def first_of_many(files: DataFrame, *extractors: Callable[[bytes], list[str]]) -> DataFrame:
+    """``extract_pages`` with a chain of plug-ins: a file goes to the next one where the last failed; if all fail, the row
+    holds the last error."""
+
+    def chain(content: bytes) -> list[str]:
+        problem: Exception = ValueError("no extractor")
+        for one in extractors:
+            try:
+                return one(content)
+            except Exception as failed:  # the next one may read it
+                problem = failed
+        raise problem
+
+    return extract_pages(files, chain)
+
+
+def read_exports(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """Exported documents: one JSON object a file, or one a line as ``write_exports`` writes them."""
+    return spark.read.schema(PAGES).option("multiLine", not lines).json(path)
 
 
 def pages_of(exports: DataFrame) -> DataFrame:

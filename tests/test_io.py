@@ -26,6 +26,9 @@ def test_listing_and_exports(spark, tmp_path):
             (tmp_path / docket / f"d{n}.docintel.json").write_text(json.dumps({"docket_id": docket, "source_file_name": f"d{n}", "full_text": "whole", "pages": [{"page_number": 1, "text": "p"}] if n == 1 else []}))
     found = readers.list_paths(spark, f"{tmp_path}/*", "*.json", dockets=["12", " "]).orderBy("ord").collect()
     assert [(r.docket_id, r.ord) for r in found] == [("12", 1), ("12", 2)]
+    assert readers.list_paths(spark, f"{tmp_path}", "*.json", dockets=["99"]).count() == 0 and readers.list_paths(spark, f"{tmp_path}/*", "*.json").count() == 4
+    shown = readers.preview_paths(readers.list_paths(spark, f"{tmp_path}/*", "*.json"), 3).collect()
+    assert [r["index"] for r in shown] == [1, 2, 3] and shown[0].n_files == 4
     pages = readers.pages_of(readers.read_exports(spark, f"{tmp_path}/*/*.json"))
     assert sorted(r.text for r in pages.collect()) == ["p", "p", "whole", "whole"]
     assert readers.read_texts(spark, f"{tmp_path}/12", "*.json").count() == 2
@@ -36,6 +39,8 @@ def test_listing_and_exports(spark, tmp_path):
         return ["one", "two"]
 
     got = readers.extract_pages(readers.read_binary(spark, f"{tmp_path}/12", "*.json"), extract).collect()
+    both = readers.first_of_many(readers.read_binary(spark, f"{tmp_path}/12", "*.json"), extract, lambda _: ["other"]).collect()
+    assert sorted(r.text for r in both) == ["one", "other", "two"] and all(r.error is None for r in both)
     assert sorted((r.page, r.text, r.error) for r in got if r.page) == [(1, "one", None), (2, "two", None)] and sum(r.error is not None for r in got) == 1
 
 

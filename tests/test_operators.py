@@ -453,3 +453,70 @@ def test_entities_as_the_standard_library_reads_them(spark):
     texts = ["&#8217;&eacute;&nbsp;x", "&amp;lt; &lt &copy2 &#x41;&#65 &#0; &#128; &#xD800; &#x110000; &bogus; & &;", "no entity", "&#99999999999999999999;&notit; &notin; &sect", "&#x1F600;&CounterClockwiseContourIntegral;", "", None]
     df = spark.createDataFrame([(x,) for x in texts], "x string")
     assert [r[0] for r in df.select(t.unescape(F.col("x"))).collect()] == [None if x is None else html.unescape(x) for x in texts]
+
+
+def test_chunks_of_trees(spark):
+    xml = """<t><introduction><introSection><title>T  L</title></introSection></introduction><chapter><name>1</name><desc>Ch</desc><section id="A"><desc>Sec</desc>
+      <diag><name>A00</name><desc>Cholera</desc><excludes1><note>x</note><note>y</note></excludes1><sevenChrNote><note>z</note></sevenChrNote>
+        <diag><name>A00.0</name><desc>one</desc><includes><note>i</note></includes><diag><name>A00.01</name><desc>deep</desc><includes><note>d</note></includes></diag></diag></diag>
+      <diag><name>A01</name></diag></section></chapter></t>"""
+    nodes = tree.parse_xml(spark.createDataFrame([("f.xml", xml)], "doc_id string, content string"))
+    whole = {r.code: r for r in tree.tabular_chunks(nodes).collect()}
+    assert set(whole) == {"A00", "A01"} and whole["A00"].document_title == "T L"
+    assert whole["A00"].text == "Document: T L\nChapter: Ch\nSection: Sec\n\nA00 Cholera\nexcludes1: x | y\nsevenChrNote: z\nA00.0 one\n includes: i\nA00.01 deep\n includes: d"
+    cut = {r.code: r for r in tree.tabular_chunks(nodes, 60).collect()}
+    assert set(cut) == {"A00.0", "A01"} and cut["A00.0"].semantic_path == "Ch > Sec > A00 > A00.0" and cut["A00.0"].chunk_title == "A00 Cholera > A00.0 one"
+    assert cut["A00.0"].text == "Document: T L\nChapter: Ch\nSection: Sec\nParent code: A00 Cholera\n\nA00.0 one\nincludes: i\nA00.01 deep\n includes: d"
+    assert tree.tabular_chunks(nodes.limit(0)).count() == 0 and tree.index_chunks(nodes).count() == 0
+    assert "excludes1: x | y" in tree.render(nodes, nodes.where("name = 'A00'")).first().text
+
+
+def test_stages_and_selectors(spark):
+    from paperloom.operators import evaluation as e
+
+    items = spark.createDataFrame([(1, None), (2, "kept"), (3, None)], "i int, old string")
+
+    def primary(row):
+        if row["i"] == 3:
+            raise ValueError("no")
+        return "made"
+
+    got = {r.i: r for r in e.two_stages(items, primary, lambda row: 1 / 0, "old").collect()}
+    assert (got[1].artifact, got[1].facts_status, got[1].facts_error) == ("made", "error", "ZeroDivisionError: division by zero")
+    assert (got[2].artifact, got[2].primary_status) == ("kept", "skipped") and (got[3].primary_error, got[3].facts_status, got[3].artifact) == ("ValueError: no", "skipped", None)
+    strict = spark.createDataFrame([(2011, "2", "s", "9"), (None, "1", "t", "8"), (2010, "10", "u", "7"), (2010, "9", "v", "6"), (2010, "9", None, "6")], "year int, docket_id string, case_facts_summary string, offense_level_total string")
+    assert [r.docket_id for r in e.legal_selectors(strict).collect()] == ["10", "9", "2", "1"]
+    with pytest.raises(ValueError):
+        e.legal_selectors(items)
+    with pytest.raises(ValueError):
+        e.experiment_views("none", items)
+    assert e.prompt_fields(spark.createDataFrame([(" yes ", 1)], "acceptance_of_responsibility string, secret int")).first().asDict() == {"acceptance_of_responsibility": "yes"}
+
+
+def test_best_rows_are_kept_over_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    scores = rng.integers(0, 5, (3, 400)).astype(float)  # full of ties
+    keys = list(map(int, rng.permutation(400)))
+    best = retrieval._Best(3, 8)
+    for a in range(0, 400, 37):
+        best.add(scores[:, a : a + 37], pa.array(keys[a : a + 37]))
+        if a % 2:
+            best.settle()
+    out = best.batch(pa.array(["x", "y", "z"]), "key", "query", pa.int64()).to_pandas()
+    for i, q in enumerate("xyz"):
+        want = sorted(zip(-scores[i], keys))[:8]
+        assert [(-s, k) for s, k in zip(out[out["query"] == q]["score"], out[out["query"] == q]["key"])] == want
+    assert retrieval._Best(2, 3).batch(pa.array([1, 2]), "key", "query", pa.string()).num_rows == 0
+
+
+def test_waiting_markers_of_contents():
+    from paperloom.operators.manuals import _Contents
+
+    c = _Contents()
+    assert c.title(["Section I. Rules."]) == "Section I. Rules" and c.title(["7."]) is None and c.waiting == ["7."]
+    assert c.title(["A.", "Chapter 1: X"]) == "A. Chapter 1: X" and c.waiting == []  # the chapter voids what waited longest
+    assert c.title(["B.", "Chapter 2:"]) == "B. Chapter 2:" and c.title(["3)"]) is None
+    assert c.title(["words", "more"]) == "3) words more" and c.title([]) is None and c.title(["plain"]) == "plain"

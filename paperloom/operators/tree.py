@@ -11,13 +11,16 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import chunk_id, code_scored, normal_space, token_estimate
+from paperloom.session import materialize
 
 SCHEMA = "doc_id string, node_id string, parent_id string, tag string, depth int, ords array<int>, path array<string>, name string, title string, code string, see string, see_also string, notes map<string,array<string>>, note_lines array<string>, document_title string"
+_S, _L = pa.string(), pa.list_(pa.string())
+NODE_TYPES = {"doc_id": _S, "node_id": _S, "parent_id": _S, "tag": _S, "depth": pa.int32(), "ords": pa.list_(pa.int32()), "path": _L, "name": _S, "title": _S, "code": _S, "see": _S, "see_also": _S, "notes": pa.map_(_S, _L), "note_lines": _L, "document_title": _S}
 # Titles of documents that name none.
 TABULAR_TITLE, INDEX_TITLE = "ICD-10-CM TABULAR LIST of DISEASES and INJURIES", "ICD-10-CM INDEX TO DISEASES and INJURIES"
 # The note groups of the tabular list.
@@ -55,21 +58,24 @@ def xml_nodes(doc_id: str, root: ET.Element) -> Iterator[tuple]:
 def parse_xml(files: DataFrame) -> DataFrame:
     """Edge table of the XML files (doc_id, content). A document that does not parse gives one node with tag ``error``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SCHEMA.split(", ")]
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [()] * len(NODE_TYPES)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, NODE_TYPES.values())], names=list(NODE_TYPES))
+
+        for batch in batches:
             rows: list[tuple] = []
-            for doc, content in zip(frame["doc_id"], frame["content"]):
+            for doc, content in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    rows += xml_nodes(doc, ET.fromstring(bytes(content) if not isinstance(content, str) else content))
+                    rows += ((*r[:12], list(r[12].items()), *r[13:]) for r in xml_nodes(doc, ET.fromstring(content)))
                 except (ET.ParseError, TypeError) as problem:
-                    rows.append((doc, f"{doc}/error", None, "error", 0, [], [], None, str(problem), None, None, None, {}, [], None))
+                    rows.append((doc, f"{doc}/error", None, "error", 0, [], [], None, str(problem), None, None, None, [], [], None))
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield batch_of(rows)
                     rows = []
-            yield pd.DataFrame(rows, columns=columns)
+            yield batch_of(rows)
 
-    return files.select("doc_id", "content").mapInPandas(run, SCHEMA)
+    return files.select("doc_id", "content").mapInArrow(run, SCHEMA)
 
 
 def _first_of_each(rows: DataFrame, group: str, order: str, value: Column, most: int, n: str, listed: str) -> DataFrame:
@@ -197,6 +203,7 @@ def tabular_chunks(nodes: DataFrame, limit: int = 12000, per_token: float = 4.0)
     than ``limit`` gives one chunk per child. Entries without a code or description keep the part they have."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     heading = F.trim(F.concat(blank("code"), F.lit(" "), blank("title")))
+    nodes = materialize(nodes, "tree-nodes")  # read several times, parsed once
     diags = _inside(nodes.where("tag = 'diag'"), 2)
     rows = _named(_named(diags, nodes, "up0", {"first": F.col("title")}), nodes, "up1", {"second": F.col("title")})
     rows = _named(rows, nodes, "top", {"top_title": heading, "top_code": F.col("code")})
@@ -213,6 +220,7 @@ def index_chunks(nodes: DataFrame, limit: int = 12000, per_token: float = 4.0) -
     """Chunks of an alphabetic index: a main term with its terms, codes and references; a term longer than ``limit`` gives
     one chunk per child."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    nodes = materialize(nodes, "tree-nodes")  # read several times, parsed once
     said = F.concat_ws(", ", *(F.concat(F.lit(f"{n}="), F.col(n)) for n in ("code", "see", "see_also")))
     line = F.trim(F.concat(blank("title"), F.when(said != "", F.concat(F.lit(" ("), said, F.lit(")"))).otherwise(F.lit(""))))
     rows = _named(_inside(nodes.where("tag in ('mainTerm', 'term')"), 1), nodes, "up0", {"first": F.col("title")})

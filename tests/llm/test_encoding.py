@@ -52,3 +52,13 @@ def test_corpus(spark, monkeypatch):
     counted = {(r.doc_id, r.n_tokens) for r in e.count_tokens(df, ["doc_id"]).collect()}
     assert counted == {(i, len(ids)) for i, ids in got}
     assert e.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_ids_give_their_text_back(spark):
+    from paperloom.llm import encoding
+
+    texts = ["plain text", "", None, "naïve 十月 \U0001f600 <|endoftext|>", "a" * 3000, "\n\n  tabs\t"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in encoding.decode_corpus(encoding.encode_corpus(df)).collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
+    assert encoding.decode_corpus(encoding.encode_corpus(df.limit(0))).count() == 0

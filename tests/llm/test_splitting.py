@@ -50,3 +50,14 @@ def test_table(spark):
     assert [(r.chunk_id, r.piece_no, r.n_pieces) for r in got] == [("a", 1, 2), ("a", 2, 2), ("c", 1, 2), ("c", 2, 2)]
     assert got[0].text + got[1].text[5:] == "one two. " * 10 and got[0].semantic_path == "p > q"
     assert s.split_oversized(spark.createDataFrame([], schema), config).count() == 0
+
+
+def test_pieces_give_their_text_back(spark):
+    from paperloom.llm import splitting
+
+    text = "One sentence here. Another one follows.\n\n" * 40
+    chunks = spark.createDataFrame([("a", "p", "memo", text, 1), ("b", "p", "memo", "short", 1), ("c", "p", "memo", None, 1), ("d", None, "memo", "x" * 500, 1)], "chunk_id string, semantic_path string, source_type string, text string, loaded_at int")
+    config = spark.createDataFrame([("memo", 200, 30)], "source_type string, max_chunk_chars int, overlap_chars int")
+    got = {r.chunk_id: r for r in splitting.reassembled(splitting.split_oversized(chunks, config)).collect()}
+    assert set(got) == {"a", "d"} and got["a"].text == text and got["d"].text == "x" * 500
+    assert all(r.longest <= 200 and r.overlaps == [30] for r in got.values())

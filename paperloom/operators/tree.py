@@ -3,6 +3,9 @@ note_lines, document_title).
 
 ``ords`` are the positions from the root, so ordering by it is pre-order and a prefix test is a subtree test; ``path`` are
 the ancestors' ids, root first. Opening and listing are filters and joins, for one request or a table of them.
+
+Joins of nodes are hinted as merges: sizes are estimated from the documents, of which each becomes many nodes, so that
+otherwise millions of nodes would be broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -84,7 +87,7 @@ def _first_of_each(rows: DataFrame, group: str, order: str, value: Column, most:
     w = Window.partitionBy(group).orderBy(order)
     top = rows.select(group, order, value.alias("_v")).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most)
     kept = top.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_v"))), lambda x: x["_v"]).alias(listed))
-    return rows.groupBy(group).agg(F.count("*").alias(n)).join(kept, group)
+    return rows.groupBy(group).agg(F.count("*").alias(n)).join(kept.hint("merge"), group)
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -94,9 +97,10 @@ def children(nodes: DataFrame) -> DataFrame:
     return _first_of_each(rows, "node_id", "ords", entry, MOST_CHILDREN, "n_children", "children")
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(node_id, ancestors): structs of the ancestors, root first."""
-    up = nodes.select("node_id", F.posexplode("path").alias("pos", "ancestor_id")).join(nodes.select(F.col("node_id").alias("ancestor_id"), "tag", "name", "title"), "ancestor_id")
+def ancestors(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(node_id, ancestors): structs of the ancestors, root first, of the nodes in ``of`` or of all."""
+    above = nodes.select(F.col("node_id").alias("ancestor_id"), "tag", "name", "title")
+    up = (nodes if of is None else of).select("node_id", F.posexplode("path").alias("pos", "ancestor_id")).join(above.hint("merge"), "ancestor_id")
     return up.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ancestor_id", "tag", "name", "title"))).alias("ancestors"))
 
 
@@ -109,8 +113,11 @@ def descendants(nodes: DataFrame, condition: Column | None = None) -> DataFrame:
 
 def open_nodes(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """For each request (node_id): the node, its ancestors, children and truncation flags; unknown ids have found = false."""
-    node = nodes.join(children(nodes), "node_id", "left").join(ancestors(nodes), "node_id", "left").join(descendants(nodes, F.col("code").isNotNull()), "node_id", "left")
-    opened = requests.join(node, "node_id", "left")
+    nodes = materialize(nodes, "tree-nodes")  # read several times, parsed once
+    node = nodes.join(requests.select("node_id").hint("merge"), "node_id", "left_semi")
+    for found in (children(nodes), ancestors(nodes, node), descendants(nodes, F.col("code").isNotNull())):
+        node = node.join(found.hint("merge"), "node_id", "left")
+    opened = requests.join(node.hint("merge"), "node_id", "left")
     return opened.withColumns({"found": F.col("tag").isNotNull(), "children_truncated": F.coalesce(F.col("n_children") > MOST_CHILDREN, F.lit(False)), "descendants_truncated": F.coalesce(F.col("n_descendants") > MOST_DESCENDANTS, F.lit(False))})
 
 

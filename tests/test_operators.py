@@ -243,6 +243,31 @@ def test_tree(spark):
     assert text == "Abscess (code=L02)\nof lung (code=J85)"
 
 
+def test_opened_nodes_stay_off_the_driver(spark, tmp_path):
+    # small files that become many nodes: neither nodes nor requests are broadcast, and the documents are parsed once
+    from paperloom.plans import surface_queries
+
+    kids = "".join(f"<diag><name>A{i}</name><desc>kid {i}</desc></diag>" for i in range(100))
+    content = f"<t><chapter><name>1</name><desc>Ch</desc><section id='s'><desc>Sec</desc><diag><name>A</name><desc>top</desc>{kids}</diag></section></chapter></t>"
+    spark.range(20).select(F.concat(F.lit("d"), "id").alias("doc_id"), F.lit(content).alias("content")).write.parquet(f"{tmp_path}/files.parquet")
+    spark.createDataFrame([("d3/0/0/0",), ("d3/0/0/0",), ("d4/0",), ("d5/0/0/0/99",), ("none",), (None,)], "node_id string").write.parquet(f"{tmp_path}/asked.parquet")
+    opened = tree.open_nodes(tree.parse_xml(spark.read.parquet(f"{tmp_path}/files.parquet")), spark.read.parquet(f"{tmp_path}/asked.parquet"))
+    got = {(r.node_id, r.found, r.title, r.n_children, tuple(a.title for a in r.ancestors or ()), len(r.children or ()), r.children_truncated, r.n_descendants, len(r.descendants or ()), r.descendants_truncated) for r in opened.collect()}
+    assert opened.count() == 6 and got == {
+        ("d3/0/0/0", True, "top", 100, ("Ch", "Sec"), 40, True, 100, 80, True),
+        ("d4/0", True, "Ch", 1, (), 1, False, 101, 80, True),
+        ("d5/0/0/0/99", True, "kid 99", None, ("Ch", "Sec", "top"), 0, False, None, 0, False),
+        ("none", False, None, None, (), 0, False, None, 0, False),
+        (None, False, None, None, (), 0, False, None, 0, False),
+    }
+    plan = opened._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "MapInArrow" not in plan
+    spark.range(50).selectExpr("id AS c_custkey", "'a' AS c_name", "1 AS c_nationkey", "'m' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(500).selectExpr("id AS o_orderkey", "id % 40 AS o_custkey", "'F' AS o_orderstatus", "'1' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    entries = surface_queries._entries(spark, str(tmp_path))
+    assert entries.count() == 50 and "Broadcast" not in entries._jdf.queryExecution().executedPlan().toString()
+
+
 def test_citation_tiers(spark):
     entries = spark.createDataFrame([("e1", "18 U.S.C. § 924(c)"), ("e2", "18 U.S.C. § 9245"), ("e3", "18 U.S.C. § 1546"), ("e4", "21 U.S.C. § 841")], "entry_id string, statute_citation string")
     asked = spark.createDataFrame([(1, "18 U.S.C. § 924(c)"), (2, "18 USC 924"), (3, "1546"), (4, "18 U.S.C. § 1"), (5, "")], "request_id int, query string")
